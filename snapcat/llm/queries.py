@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, components, fingerprint, langid, mixing, neardup, packing, secrets, urls
+from . import chat, components, fingerprint, jaccard, langid, mixing, neardup, packing, secrets, urls
 
 #: fixed values: the rules of the URL query
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -56,6 +56,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.with_next(table(spark, sf_dir, "documents"))
     n = F.length("_text")
@@ -84,7 +89,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), keys)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_embedding_neardup, op4_language_id, op6_fingerprint, op7_mix_sources, op9_best_fit_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_embedding_neardup, op4_language_id, op5_jaccard_join, op6_fingerprint, op7_mix_sources, op9_best_fit_packing, op10_url_filter)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
