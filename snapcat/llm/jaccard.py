@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from . import text as tx
 from .components import checkpoint_dir, connected_components
+from .keyfilter import key_filter
 
 #: shingles held by a task before it passes them on
 FLUSH = 2_000_000
@@ -183,36 +184,21 @@ def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, fre
     return rows.groupBy("bucket").applyInArrow(join, "token long, key long, n int, level int")
 
 
-#: bits of the filter of wanted sets: 16 for each, between these bounds
-FEWEST_BITS, MOST_BITS = 1 << 16, 1 << 27
-
-
 def wanted_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
     """(key, shingles packed) of the sets named in `wanted` (key); some others may be among them.
 
     A Bloom filter of bounded size, broadcast, saves shuffling the sets of most other documents.
     """
-    spark = docs.sparkSession
-    bits = FEWEST_BITS
-    count = wanted.count()
-    while bits < min(MOST_BITS, 16 * count):
-        bits *= 2
-    slots = F.explode(F.array(F.col("key").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(bits - 1)))).alias("s")
-    words = wanted.select(slots).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas()
-    table = np.zeros(bits // 64, np.uint64)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
+    shared = key_filter(wanted)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, seen = shared.value, set()
-        hit = lambda s: int(bloom[s >> 6]) >> (s & 63) & 1
+        filter_, seen = shared.value, set()
         for _, sets in _sets(batches, width):
             keys, values = [], []
             for h in sets:
                 if not len(h) or (k := set_key(h)) in seen:
                     continue
-                u = k & (2**64 - 1)
-                if hit(u & (bits - 1)) and hit((u >> 32) & (bits - 1)):
+                if k in filter_:
                     seen.add(k)
                     keys.append(k)
                     values.append(h.tobytes())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, components, fingerprint, jaccard, langid, mixing, neardup, packing, secrets, urls
+from . import chat, components, fingerprint, jaccard, langid, mixing, neardup, packing, repeats, secrets, urls
 
 #: fixed values: the rules of the URL query
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -78,6 +78,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, mixing.word_count(F.col("text")))
@@ -89,7 +93,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), keys)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_embedding_neardup, op4_language_id, op5_jaccard_join, op6_fingerprint, op7_mix_sources, op9_best_fit_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_embedding_neardup, op4_language_id, op5_jaccard_join, op6_fingerprint, op7_mix_sources, op8_suffix_dedup, op9_best_fit_packing, op10_url_filter)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
