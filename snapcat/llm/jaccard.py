@@ -5,7 +5,8 @@ often come last, the rest by hash. Two sets whose Jaccard similarity reaches the
 first |x| - ceil(threshold |x|) + l shingles of each, for every l. The prefix of l = 1 is the usual one; where it
 holds frequent shingles, a longer prefix is chosen that demands l shared shingles, by the least estimated cost:
 entries in the prefix with their frequencies, plus a comparison for every candidate, of which there are at most the
-sum of frequencies over l. A pair is a candidate if it shares min(l of one, l of the other) prefix shingles.
+sum of frequencies over l. A pair is a candidate if it shares min(l of one, l of the other) prefix shingles, and as
+many as the rest of the sets cannot make up for.
 
 Equal sets are one node. Nodes first meet the smallest node of each shingle's list only; verified links give
 components, and then every pair that shares enough prefix shingles and still lies in two components is verified too.
@@ -255,8 +256,11 @@ def jaccard_components(
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
     def enough(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("la", "lb")).alias("need"))
-        return pairs.filter("shared >= need").select("a", "b")
+        pairs = pairs.filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for c in ("na", "nb", "la", "lb")])
+        # what lies behind the prefixes adds at most the longer of the two rests
+        overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+        rest = F.greatest(*[F.ceil(F.col("n" + x) * percent / 100) - F.col("l" + x) for x in "ab"])
+        return pairs.filter(F.col("shared") >= F.greatest(F.least("la", "lb"), overlap - rest)).select("a", "b")
 
     heads = entries.groupBy("token").agg(F.min(F.struct("key", "n", "level")).alias("head"))
     star = entries.join(heads, "token").filter("key <> head.key")
