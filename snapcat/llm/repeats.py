@@ -49,26 +49,70 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of a block; every `width`-byte string inside a document holds one."""
-    span = width - GRAM + 1
-    n = len(data) - width + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = tx.powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(tx._CODE[data] * up[: len(data)], out=total[1:])
-    grams = len(data) - GRAM + 1
-    h = tx.mix64((total[GRAM:] - total[:-GRAM]) * down[:grams]) | np.uint64(1)
-    least = _sliding(h, span, np.minimum)
-    # windows that run over the end of a document choose nothing
-    ends = offsets[1:]
-    for e in ends[:-1].tolist():
-        least[max(0, e - width + 1) : min(e, n)] = 0
-    padded = np.zeros(n + 2 * (span - 1), np.uint64)
-    padded[span - 1 : span - 1 + n] = least
-    at = np.flatnonzero(_sliding(padded, span, np.maximum) == h)
-    return at, h[at]
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of all elements of the stretches that begin at `starts`, one stretch after the other."""
+    total = np.cumsum(sizes)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(starts - total + sizes, sizes)
+
+
+class Anchors:
+    """Anchors of a block of documents; every `width`-byte string inside a document chooses one.
+
+    at, hashes: positions and 64-bit hashes; sums, down: running sums from which any substring's hash follows.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int):
+        self.span, self.width = width - GRAM + 1, width
+        self.n = n = len(data) - width + 1
+        self.at, self.hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        up, self.down = tx.powers(len(data))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(tx._CODE[data] * up[: len(data)], out=self.sums[1:])
+        if n < 1:
+            self.n = 0
+            return
+        h = tx.mix64((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: len(data) - GRAM + 1]) | np.uint64(1)
+        self.least = _sliding(h, self.span, np.minimum)
+        # strings that run over the end of a document choose nothing
+        for e in offsets[1:-1].tolist():
+            self.least[max(0, e - width + 1) : min(e, n)] = 0
+        padded = np.zeros(n + 2 * (self.span - 1), np.uint64)
+        padded[self.span - 1 : self.span - 1 + n] = self.least
+        self.at = np.flatnonzero(_sliding(padded, self.span, np.maximum) == h)
+        self.hashes = h[self.at]
+
+    def chosen(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor numbers, first and last start) of the strings that choose the wanted anchors, one run for each.
+
+        Among equal hashes the last one in the string is chosen.
+        """
+        if not len(self.at):
+            return (np.zeros(0, np.int64),) * 3
+        near = np.zeros(self.n, bool)
+        spots = self.at[wanted]
+        for k in range(self.span):
+            near[np.minimum(spots[spots >= k] - k, self.n - 1)] = True
+        start = np.flatnonzero(near & (self.least > 0))
+        which = np.searchsorted(self.at, start + self.span - 1, "right") - 1
+        off = np.flatnonzero(self.hashes[which] != self.least[start])
+        while len(off):
+            which[off] -= 1
+            off = off[self.hashes[which[off]] != self.least[start[off]]]
+        mine = wanted[which]
+        start, which = start[mine], which[mine]
+        if not len(start):
+            return (np.zeros(0, np.int64),) * 3
+        new = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+        last = np.concatenate((new[1:], [len(start)])) - 1
+        return which[new], start[new], start[last]
+
+    def substring_hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return tx.mix64((self.sums[hi] - self.sums[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
+
+
+def anchor_name(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, 40 further bits) of an anchor hash; together its name. Anchors that share a name only cost time."""
+    return ((hashes & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int32), hashes >> np.uint64(24)
 
 
 def text_key(data: bytes) -> int:
@@ -102,39 +146,34 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(name, "id long, key long, n_bytes long, sha string")
 
 
-def _recurring(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(anchor, id) of all anchors that occur under two ids, from each task's distinct texts."""
+def _recurring(docs: DataFrame, heads, width: int, buckets: int) -> DataFrame:
+    """(id, anchor, first, n): anchors that occur under two ids, the smallest of those and their number.
+
+    heads: filter of (text, smallest id); other copies of a text are passed over.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_copies = heads.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        least: dict[int, int] = {}
         size = 0
 
         def deal() -> pa.RecordBatch:
             h, doc = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            bucket = ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
+            bucket, name = anchor_name(h, buckets)
             order, edges, rows = _cut(bucket, buckets)
-            part = lambda x: [x[order[edges[b] : edges[b + 1]]].tobytes() for b in rows]
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(part(h), pa.binary()), pa.array(part(doc), pa.binary())], ["bucket", "anchor", "id"])
+            low, high, doc = (name & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], (name >> np.uint64(32)).astype(np.uint8)[order], doc[order]
+            part = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in rows], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), part(low), part(high), part(doc)], ["bucket", "low", "high", "id"])
 
         for ids, _, data, offsets, keys in _documents(batches, "text"):
             ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-            fresh = np.zeros(len(keys), bool)
-            for i, k in enumerate(keys):
-                if least.get(k, _NONE) > ids[i] or k not in least:
-                    least[k] = int(ids[i])
-                    fresh[i] = True
-            at, h = anchors(data, offsets, width)
-            doc = np.searchsorted(offsets, at, "right") - 1
+            fresh = np.array([copy_key(k, i) in first_copies for k, i in zip(keys, ids.tolist(), strict=True)], bool)
+            a = Anchors(data, offsets, width)
+            doc = np.searchsorted(offsets, a.at, "right") - 1
             mine = fresh[doc]
-            h, doc = h[mine], doc[mine]
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            if not len(h):
-                continue
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-            held.append((h[new], ids[doc[new]]))
-            size += int(new.sum())
+            if mine.any():
+                held.append((a.hashes[mine], ids[doc[mine]]))
+                size += int(mine.sum())
             if size >= FLUSH:
                 yield deal()
                 held, size = [], 0
@@ -142,140 +181,184 @@ def _recurring(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             yield deal()
 
     def meet(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("anchor")])
-        doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("id")])
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-        h, doc = h[new], doc[new]
-        same = np.zeros(len(h) + 1, bool)
-        same[1:-1] = h[1:] == h[:-1]
+        get = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
+        name = get("low", np.uint32).astype(np.int64) | (get("high", np.uint8).astype(np.int64) << 32)
+        doc = get("id", np.int64)
+        order = np.argsort(name, kind="stable")
+        name, doc = name[order], doc[order]
+        same = np.zeros(len(name) + 1, bool)
+        same[1:-1] = name[1:] == name[:-1]
         kept = same[1:] | same[:-1]
-        return pa.table({"anchor": h[kept], "id": doc[kept]})
+        name, doc = name[kept], doc[kept]
+        order = np.lexsort((doc, name))
+        name, doc = name[order], doc[order]
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+        name, doc = name[new], doc[new]
+        runs = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate((runs, [len(name)])))
+        n, first = np.repeat(n, n), np.repeat(doc[runs], n)
+        kept = n > 1
+        anchor = name[kept] << 24 | int(table.column("bucket")[0].as_py())
+        return pa.table({"id": doc[kept], "anchor": anchor, "first": first[kept], "n": n[kept]})
 
-    made = docs.mapInArrow(make, "bucket int, anchor binary, id binary")
-    return made.groupBy("bucket").applyInArrow(meet, "anchor long, id long")
+    made = docs.mapInArrow(make, "bucket int, low binary, high binary, id binary")
+    return made.groupBy("bucket").applyInArrow(meet, "id long, anchor long, first long, n long")
 
 
-def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, text compressed) of the texts named in `keys`, each once; some others may be among them."""
-    shared = key_filter(keys)
+def copy_key(key: int, doc: int) -> int:
+    """Name of a text under an id, for a filter."""
+    return (key ^ (doc * 0x9E3779B97F4A7C15 + 0x1D8E4E27C47D124F)) & (2**64 - 1)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen, pack = shared.value, set(), zstandard.ZstdCompressor(1)
-        for _, raw, _, offsets, names in _documents(batches, "text"):
-            out = []
-            for i, k in enumerate(names):
-                if k not in seen and k in wanted:
-                    seen.add(k)
-                    out.append((k, pack.compress(raw[int(offsets[i]) : int(offsets[i + 1])])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["key", "z"])
 
-    return docs.mapInArrow(make, "key long, z binary").groupBy("key").agg(F.first("z").alias("z"))
+def _copy_keys(classes: DataFrame) -> DataFrame:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [copy_key(k, i) for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64), pa.int64())], ["key"])
 
+    return classes.select("key", "least").mapInArrow(name, "key long")
 
-_PACKED = "bucket int, anchor binary, size binary, bytes binary, least binary, context binary, id binary, key binary, base binary"
 
+def _texts(docs: DataFrame, heads, wanted, by_id: bool) -> DataFrame:
+    """(id, key, text compressed) of first copies whose id (or else key) is in a filter; some others may be among them."""
 
-def _contexts(marked: DataFrame, width: int, buckets: int) -> DataFrame:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_copies, filter_, seen, pack = heads.value, wanted.value, set(), zstandard.ZstdCompressor(1)
+        for ids, raw, _, offsets, names in _documents(batches, "text"):
+            out = []
+            for i, (d, k) in enumerate(zip(ids.to_pylist(), names, strict=True)):
+                if (d, k) not in seen and (d if by_id else k) in filter_ and copy_key(k, d) in first_copies:
+                    seen.add((d, k))
+                    out.append((d, k, pack.compress(raw[int(offsets[i]) : int(offsets[i + 1])])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["id", "key", "z"])
+
+    return docs.mapInArrow(make, "id long, key long, z binary")
+
+
+_PACKED = {"anchor": np.int64, "size": np.int32, "bytes": np.uint8, "least": np.int64, "context": np.int32, "id": np.int64, "key": np.int64, "base": np.int32}
+
+
+class _Held:
+    """Contexts and occurrences that a task holds back until it deals them out."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.contexts: list[tuple] = []  # name, anchor, shares, smallest id, size, bytes
+        self.seen: list[tuple] = []  # name, id, key, base, shares, anchor
+        self.rows = 0
+
+    def add(self, name, anchor, shares, doc, key, lo, hi, begin, data, answers) -> None:
+        """Contexts data[lo:hi] (named by hashes) of documents; `answers` marks the occurrences that want one."""
+        order = np.lexsort((doc, name))
+        head = order[np.concatenate(([True], name[order][1:] != name[order][:-1]))]
+        size = (hi - lo)[head]
+        self.contexts.append((name[head], anchor[head], shares[head], doc[head], size, data[ragged(lo[head], size)]))
+        a = answers
+        self.seen.append((name[a], doc[a], key[a], (lo - begin)[a].astype(np.int32), shares[a], anchor[a]))
+        self.rows += len(head) + int(a.sum())
+
+    def _slot(self, anchor: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return (tx.mix64(anchor.view(np.uint64) + share.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def deal(self) -> pa.RecordBatch:
+        name, anchor, shares, least, size = (np.concatenate([c[k] for c in self.contexts]) for k in range(5))
+        data = np.concatenate([c[5] for c in self.contexts])
+        begin = np.cumsum(size) - size
+        order = np.lexsort((least, name))
+        order = order[np.concatenate(([True], name[order][1:] != name[order][:-1]))]  # sorted by name, smallest id first
+        name, anchor, shares, least, size, begin = (x[order] for x in (name, anchor, shares, least, size, begin))
+        # a context goes to the bucket of each share of its anchor
+        which = np.repeat(np.arange(len(name)), shares)
+        share = ragged(np.zeros(len(name), np.int64), shares)
+        placed = np.unique(self._slot(anchor[which], share) * len(name) + which)
+        bucket, which = placed // len(name), placed % len(name)
+        o_name, o_id, o_key, o_base, o_shares, o_anchor = (np.concatenate([s[k] for s in self.seen]) for k in range(6))
+        at = np.searchsorted(placed, self._slot(o_anchor, o_id % o_shares) * len(name) + np.searchsorted(name, o_name))
+        order = np.argsort(at, kind="stable")
+        at, o_id, o_key, o_base = at[order], o_id[order], o_key[order], o_base[order]
+        rows = np.unique(bucket)
+        edge, o_edge = np.searchsorted(bucket, [rows, rows + 1]), np.searchsorted(bucket[at], [rows, rows + 1])
+        columns = {"bucket": pa.array(rows.astype(np.int32))}
+        parts = {"anchor": anchor[which], "size": size[which].astype(np.int32), "least": least[which]}
+        columns |= {k: pa.array([x[a:b].tobytes() for a, b in edge.T], pa.binary()) for k, x in parts.items()}
+        columns["bytes"] = pa.array([data[ragged(begin[w], size[w])].tobytes() for w in (which[a:b] for a, b in edge.T)], pa.binary())
+        columns["context"] = pa.array([(at[a:b] - e).astype(np.int32).tobytes() for (a, b), e in zip(o_edge.T, edge[0], strict=True)], pa.binary())
+        columns |= {k: pa.array([x[a:b].tobytes() for a, b in o_edge.T], pa.binary()) for k, x in (("id", o_id), ("key", o_key), ("base", o_base))}
+        self.clear()
+        return pa.RecordBatch.from_arrays([columns[c] for c in ("bucket", *_PACKED)], ["bucket", *_PACKED])
+
+
+def _contexts(marked: DataFrame, width: int, anchor_buckets: int, buckets: int) -> DataFrame:
     """Packed contexts and occurrences by bucket, from rows (id, key, z, marks: array of anchor, first, n)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        #: (anchor, context) -> [smallest id, shares]; its occurrences: id, key, base
-        seen: dict[tuple[int, bytes], list] = {}
-        occurrences: list[tuple[list, int, int, int]] = []
-
-        def deal() -> Iterator[pa.RecordBatch]:
-            entries = list(seen.items())
-            number = {id(v): i for i, (_, v) in enumerate(entries)}
-            place: dict[int, tuple[list[int], list[int]]] = {}
-            slot = lambda a, s: int(tx.mix64(np.array([(a + s * 0x9E3779B9) & (2**64 - 1)], np.uint64))[0] % np.uint64(buckets))
-            slots = {}
-            for i, ((a, _), (_, shares)) in enumerate(entries):
-                if (a, shares) not in slots:
-                    slots[a, shares] = [slot(a, s) for s in range(shares)]
-                for b in set(slots[a, shares]):
-                    place.setdefault(b, ([], []))[0].append(i)
-            for j, (v, doc, _, _) in enumerate(occurrences):
-                i = number[id(v)]
-                (a, _), (_, shares) = entries[i]
-                place[slots[a, shares][doc % shares]][1].append(j)
-            rows: dict[str, list] = {c.split()[0]: [] for c in _PACKED.split(", ")}
-            for b, (cs, os) in place.items():
-                local = {i: k for k, i in enumerate(cs)}
-                rows["bucket"].append(b)
-                rows["anchor"].append(np.array([entries[i][0][0] for i in cs], np.uint64).tobytes())
-                rows["size"].append(np.array([len(entries[i][0][1]) for i in cs], np.int32).tobytes())
-                rows["bytes"].append(b"".join(entries[i][0][1] for i in cs))
-                rows["least"].append(np.array([entries[i][1][0] for i in cs], np.int64).tobytes())
-                rows["context"].append(np.array([local[number[id(occurrences[j][0])]] for j in os], np.int32).tobytes())
-                for k, name, kind in ((1, "id", np.int64), (2, "key", np.int64), (3, "base", np.int32)):
-                    rows[name].append(np.array([occurrences[j][k] for j in os], kind).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(v, pa.binary()) for c, v in rows.items() if c != "bucket")], list(rows))
-
+        unpack, held = zstandard.ZstdDecompressor(), _Held(buckets)
         for batch in batches:
-            ids, keys, zs = (batch.column(k).to_pylist() for k in range(3))
-            marks = batch.column(3)
+            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            zs, marks = batch.column(2), batch.column(3)
             flat, edges = marks.values, marks.offsets.to_numpy()
-            mark_anchor, mark_first, mark_n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for i in range(batch.num_rows):
-                raw = unpack.decompress(zs[i])
-                data = np.frombuffer(raw, np.uint8)
-                at, h = anchors(data, np.array([0, len(data)]), width)
-                lo, hi = edges[i], edges[i + 1]
-                own = mark_anchor[lo:hi].view(np.uint64)
-                order = np.argsort(own)
-                found = np.minimum(np.searchsorted(own[order], h), len(own) - 1)
-                hit = own[order][found] == h
-                which = order[found[hit]] + lo
-                doc, key, n = int(ids[i]), int(keys[i]), len(raw)
-                for p, a, m in zip(at[hit].tolist(), h[hit].tolist(), which.tolist(), strict=True):
-                    base = max(0, p + GRAM - width)
-                    context = raw[base : min(n, p + width)]
-                    entry = seen.get((a, context))
-                    if entry is None:
-                        entry = seen[a, context] = [doc, 1 + int(mark_n[m]) // SHARE]
-                    elif doc < entry[0]:
-                        entry[0] = doc
-                    if doc > mark_first[m]:
-                        occurrences.append((entry, doc, key, base))
-                if len(seen) >= FLUSH // 8 or len(occurrences) >= FLUSH // 2:
-                    yield from deal()
-                    seen, occurrences = {}, []
-        if seen:
-            yield from deal()
-
-    return marked.mapInArrow(make, _PACKED)
-
-
-def resolve(anchor: np.ndarray, size: np.ndarray, data: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The smallest document of every `width`-byte string of the contexts.
-
-    Returns (first window of each context, windows of each context, smallest document by window).
+            m_anchor, m_first, m_n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            lo = 0
+            while lo < batch.num_rows:
+                texts, size, hi = [], 0, lo
+                while hi < batch.num_rows and (not texts or size < tx.BLOCK_BYTES):
+                    texts.append(unpack.decompress(zs[hi].as_buffer()))
+                    size += len(texts[-1])
+                    hi += 1
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+                a = Anchors(data, offsets, width)
+                bucket, name = anchor_name(a.hashes, anchor_buckets)
+                own = name.astype(np.int64) << 24 | bucket
+                cuts = np.searchsorted(a.at, offsets)
+                mark = np.full(len(own), -1, np.int64)
+                for d in range(hi - lo):
+                    s, e = edges[lo + d], edges[lo + d + 1]
+                    order = np.argsort(m_anchor[s:e])
+                    mine = m_anchor[s:e][order]
+                    x = own[cuts[d] : cuts[d + 1]]
+                    at = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
+                    mark[cuts[d] : cuts[d + 1]] = np.where(mine[at] == x, order[at] + s, -1)
+                which, first, last = a.chosen(mark >= 0)
+                if len(which):
+                    doc = np.searchsorted(offsets, first, "right") - 1
+                    end = last + width
+                    anchor, m = own[which], mark[which]
+                    named = tx.mix64(a.substring_hashes(first, end) ^ tx.mix64(anchor.view(np.uint64)))
+                    owner = ids[lo + doc]
+                    held.add(named, anchor, 1 + m_n[m] // SHARE, owner, keys[lo + doc], first, end, offsets[doc], data, owner > m_first[m])
+                    if held.rows >= FLUSH // 4:
+                        yield held.deal()
+                lo = hi
+        if held.rows:
+            yield held.deal()
+
+    return marked.mapInArrow(make, "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
+
+
+def resolve(anchor: np.ndarray, size: np.ndarray, begin: np.ndarray, data: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest document of every `width`-byte string of the contexts data[begin : begin + size].
+
+    Returns (first string of each context, number of strings of each, smallest document of each string).
     """
-    n = len(size)
-    begin = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
-    windows = np.maximum(size.astype(np.int64) - width + 1, 0)
-    first = np.concatenate(([0], np.cumsum(windows)[:-1])).astype(np.int64)
+    windows = np.maximum(size - width + 1, 0)
+    first = np.cumsum(windows) - windows
     smallest = np.repeat(least, windows)
-    # contexts that are the only one of their anchor are equal to themselves alone
+    # a context that is the only one of its anchor shares no string with another
     _, inverse, counts = np.unique(anchor, return_inverse=True, return_counts=True)
     shared = np.flatnonzero(counts[inverse] > 1)
     if len(shared):
-        sizes = size[shared].astype(np.int64)
-        joined = np.concatenate([data[begin[i] : begin[i] + size[i]] for i in shared.tolist()])
-        offset = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        many = windows[shared]
-        total = np.concatenate(([0], np.cumsum(many)[:-1]))
-        step = np.arange(int(many.sum())) - np.repeat(total, many)
-        classes = prefix_classes(joined, np.repeat(offset, many) + step, width)
-        low = np.full(int(classes.max()) + 1 if len(classes) else 0, _NONE, np.int64)
-        owner = np.repeat(least[shared], many)
-        np.minimum.at(low, classes, owner)
-        smallest[np.repeat(first[shared], many) + step] = low[classes]
-    assert len(first) == n
+        sizes, many = size[shared], windows[shared]
+        joined = data[ragged(begin[shared], sizes)]
+        classes = prefix_classes(joined, ragged(np.cumsum(sizes) - sizes, many), width)
+        low = np.full(int(classes.max()) + 1, _NONE, np.int64)
+        np.minimum.at(low, classes, np.repeat(least[shared], many))
+        smallest[ragged(first[shared], many)] = low[classes]
     return first, windows, smallest
 
 
@@ -283,54 +366,37 @@ def _ranges(packed: DataFrame, width: int) -> DataFrame:
     """(key, lo, hi): byte ranges to remove, from packed contexts."""
 
     def decide(table: pa.Table) -> pa.Table:
-        get = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-        anchor, size, least = get("anchor", np.uint64), get("size", np.int32), get("least", np.int64)
-        text, context = get("bytes", np.uint8), get("context", np.int32)
+        get = lambda name: [np.frombuffer(x.as_py(), _PACKED[name]) for x in table.column(name)]
+        parts = get("anchor")
+        counts = [len(x) for x in parts]
+        anchor, size, least, data = np.concatenate(parts), np.concatenate(get("size")).astype(np.int64), np.concatenate(get("least")), np.concatenate(get("bytes"))
+        begin = np.cumsum(size) - size
         # one context may come from several tasks
-        number: dict[tuple[int, bytes], int] = {}
-        names: list[tuple[int, bytes]] = []
-        low: list[int] = []
-        maps = []
-        for a, s, d, t in zip(anchor, size, least, text, strict=True):
-            ends, raw, own = np.cumsum(s).tolist(), t.tobytes(), np.empty(len(a), np.int64)
-            start = 0
-            for k, (x, end, doc) in enumerate(zip(a.tolist(), ends, d.tolist(), strict=True)):
-                name = (x, raw[start:end])
-                start = end
-                i = number.get(name)
-                if i is None:
-                    i = number[name] = len(names)
-                    names.append(name)
-                    low.append(doc)
-                elif doc < low[i]:
-                    low[i] = doc
-                own[k] = i
-            maps.append(own)
-        first, windows, smallest = resolve(
-            np.array([x for x, _ in names], np.uint64), np.array([len(c) for _, c in names], np.int32), np.frombuffer(b"".join(c for _, c in names), np.uint8), np.array(low, np.int64), width
-        )
-        at = np.concatenate([m[c] for m, c in zip(maps, context, strict=True)])
-        doc, key, base = (np.concatenate(get(n, k)) for n, k in (("id", np.int64), ("key", np.int64), ("base", np.int32)))
-        # runs of windows with one smallest document: an occurrence removes the runs below its own document
+        up, down = tx.powers(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(tx._CODE[data] * up[: len(data)], out=sums[1:])
+        name = tx.mix64(((sums[begin + size] - sums[begin]) * down[begin] + size.astype(np.uint64)) ^ tx.mix64(anchor.view(np.uint64)))
+        order = np.lexsort((least, name))
+        new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+        number = np.empty(len(name), np.int64)
+        number[order] = np.cumsum(new) - 1
+        head = order[new]
+        first, windows, smallest = resolve(anchor[head], size[head], begin[head], data, least[head], width)
+        shift = np.cumsum(counts) - counts
+        at = number[np.concatenate([c + s for c, s in zip(get("context"), shift, strict=True)])]
+        doc, key, base = (np.concatenate(get(c)) for c in ("id", "key", "base"))
+        # runs of strings that a smaller document has too: each removes one range of bytes
         many = windows[at]
-        total = np.concatenate(([0], np.cumsum(many)))
-        step = np.arange(int(total[-1])) - np.repeat(total[:-1], many)
-        gone = np.zeros(int(total[-1]) + 1, bool)
-        gone[:-1] = smallest[np.repeat(first[at], many) + step] < np.repeat(doc, many)
-        before = np.zeros(len(gone), bool)
-        before[1:] = gone[:-1]
-        edge = np.zeros(len(gone), bool)
-        edge[total[:-1][many > 0]] = True
-        starts = np.flatnonzero(gone & (~before | edge))
-        edge[:-1], edge[-1] = edge[1:].copy(), True
-        nexts = np.zeros(len(gone), bool)
-        nexts[:-1] = gone[1:]
-        ends = np.flatnonzero(gone & (~nexts | edge))
-        occ = np.searchsorted(total, starts, "right") - 1
-        lo = base[occ] + (starts - total[occ])
-        hi = base[occ] + (ends - total[occ]) + width
-        out = pa.table({"key": key[occ], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
-        return out
+        total = np.cumsum(many)
+        gone = smallest[ragged(first[at], many)] < np.repeat(doc, many)
+        edge = np.zeros(len(gone) + 1, bool)
+        edge[total] = edge[total - many] = True
+        before = np.concatenate(([False], gone[:-1])) if len(gone) else gone
+        after = np.concatenate((gone[1:], [False])) if len(gone) else gone
+        starts, ends = np.flatnonzero(gone & (~before | edge[:-1])), np.flatnonzero(gone & (~after | edge[1:]))
+        occ = np.searchsorted(total, starts, "right")
+        shift = base[occ] - (total - many)[occ]
+        return pa.table({"key": key[occ], "lo": (starts + shift).astype(np.int32), "hi": (ends + shift + width).astype(np.int32)})
 
     return packed.groupBy("bucket").applyInArrow(decide, "key long, lo int, hi int")
 
@@ -359,18 +425,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = info.groupBy("key").agg(F.min("id").alias("least"), F.max("n_bytes").alias("n")).filter(F.col("n") >= width).checkpoint()
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
     density = 2 / (width - GRAM + 2)
-    found = _recurring(rows, width, int(max(16, total * density // BUCKET)))
-    # copies of a text are one text: ids of the others drop out, and an anchor must be left with two ids
-    found = found.join(classes.select("key", F.col("least").alias("id")), "id")
-    multiple = found.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last")
-    found = found.join(multiple.select("anchor", "first", "n"), "anchor")
-    marks = found.groupBy("key", "id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("marks")).checkpoint()
+    anchor_buckets = int(max(16, total * density // BUCKET))
+    heads = key_filter(_copy_keys(classes))
+    found = _recurring(rows, heads, width, anchor_buckets)
+    marks = found.groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("marks")).checkpoint()
     many = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
-    texts = _texts(rows, marks.select("key"))
-    marked = texts.join(marks, "key").select("id", "key", "z", "marks")
-    ranges = _ranges(_contexts(marked, width, int(max(16, many // CONTEXTS))), width)
+    texts = _texts(rows, heads, key_filter(marks.select(F.col("id").alias("key"))), True)
+    marked = texts.join(marks, "id").select("id", "key", "z", "marks")
+    ranges = _ranges(_contexts(marked, width, anchor_buckets, int(max(16, many // CONTEXTS))), width)
     ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).checkpoint()
-    both = _texts(rows, ranges.select("key")).join(ranges, "key").select("key", "z", "ranges")
+    both = _texts(rows, heads, key_filter(ranges.select("key")), False).join(ranges, "key").select("key", "z", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -391,7 +455,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 [pa.array(keys, pa.int64()), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], ["k", "removed", "spans", "kept"]
             )
 
-    done = both.mapInArrow(cut, "k long, removed long, spans long, kept string").join(classes.select(F.col("key").alias("k")), "k")
+    done = both.mapInArrow(cut, "k long, removed long, spans long, kept string").dropDuplicates(["k"])
     out = info.join(classes.select("key", "least"), "key", "left").join(done, info["key"] == done["k"], "left")
     copy = F.coalesce(F.col("id") > F.col("least"), F.lit(False))
     empty = hashlib.sha256().hexdigest()
