@@ -68,7 +68,7 @@ def sketch_text(s: Column) -> Column:
     return F.concat(s["scale"].cast("string"), F.lit(":"), F.array_join(F.transform(s["hashes"], lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 2000) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000) -> DataFrame:
     """(_id, _text, _sketch, _next_text, _next_sketch): each text beside the next in descending order of id.
 
     After the last row comes the first. Rows with equal ids go by a hash of the text; null ids come last. Texts are
@@ -77,7 +77,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("_id").cast("double"), F.max("_id").cast("double")).first()
-    ranges = max(1, n // bucket_rows)
+    # as many ranges as shuffle partitions, more where they would pass `most_rows` rows, fewer for small tables
+    ranges = max(1, n // most_rows, min(n // 500, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     low, width = low or 0.0, max(1.0, (high or 0.0) - (low or 0.0) + 1)
     part = F.least(F.floor((F.col("_id").cast("double") - low) / F.lit(width) * ranges), F.lit(ranges - 1))
     rows = rows.select("_id", "_text", F.xxhash64("_text").alias("_h"), F.coalesce(part, F.lit(0)).cast("long").alias("_range"))
