@@ -34,8 +34,12 @@ from .keyfilter import key_filter
 from .suffix import prefix_classes
 
 GRAM = 20
-#: anchors held by a task before it passes them on, anchors and contexts in a bucket, occurrences of an anchor in a task
-FLUSH, BUCKET, CONTEXTS, SHARE = 1_000_000, 400_000, 12_000, 20_000
+#: anchors held by a task before it passes them on, anchors and contexts in a bucket
+FLUSH, BUCKET, CONTEXTS = 1_000_000, 400_000, 12_000
+#: occurrences of an anchor in a task, and most rows of the list of anchors that are dealt to several
+SHARE, MOST_HOT = 20_000, 1 << 20
+#: level of zstd for texts, and for packed columns
+TEXT_LEVEL, PACK_LEVEL = 3, 1
 _NONE = (1 << 63) - 1
 
 
@@ -112,7 +116,11 @@ class Anchors:
 
 def anchor_name(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, 40 further bits) of an anchor hash; together its name. Anchors that share a name only cost time."""
-    return ((hashes & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int32), hashes >> np.uint64(24)
+    return ((hashes & np.uint64(0x7FFFFF)) % np.uint64(buckets)).astype(np.int32), hashes >> np.uint64(24)
+
+
+#: a marked anchor is one number: 40 bits, this bit if the document is the first that has it, 23 bits of its bucket
+_FIRST = np.int64(1 << 23)
 
 
 def text_key(data: bytes) -> int:
@@ -146,8 +154,8 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(name, "id long, key long, n_bytes long, sha string")
 
 
-def _recurring(docs: DataFrame, heads, width: int, buckets: int) -> DataFrame:
-    """(id, anchor, first, n): anchors that occur under two ids, the smallest of those and their number.
+def _recurring(docs: DataFrame, heads, width: int, buckets: int, share: int) -> DataFrame:
+    """(id, anchor) of anchors that occur under two ids; under id null, once for every `share` ids more, the hot ones.
 
     heads: filter of (text, smallest id); other copies of a text are passed over.
     """
@@ -197,13 +205,14 @@ def _recurring(docs: DataFrame, heads, width: int, buckets: int) -> DataFrame:
         name, doc = name[new], doc[new]
         runs = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
         n = np.diff(np.concatenate((runs, [len(name)])))
-        n, first = np.repeat(n, n), np.repeat(doc[runs], n)
-        kept = n > 1
-        anchor = name[kept] << 24 | int(table.column("bucket")[0].as_py())
-        return pa.table({"id": doc[kept], "anchor": anchor, "first": first[kept], "n": n[kept]})
+        anchor = name << 24 | int(table.column("bucket")[0].as_py())
+        hot = np.repeat(anchor[runs], n // share)
+        anchor[runs] |= _FIRST
+        kept = np.repeat(n, n) > 1
+        return pa.table({"id": pa.concat_arrays([pa.array(doc[kept]), pa.nulls(len(hot), pa.int64())]), "anchor": np.concatenate((anchor[kept], hot))})
 
     made = docs.mapInArrow(make, "bucket int, low binary, high binary, id binary")
-    return made.groupBy("bucket").applyInArrow(meet, "id long, anchor long, first long, n long")
+    return made.groupBy("bucket").applyInArrow(meet, "id long, anchor long")
 
 
 def copy_key(key: int, doc: int) -> int:
@@ -224,7 +233,7 @@ def _texts(docs: DataFrame, heads, wanted, by_id: bool) -> DataFrame:
     """(id, key, text compressed) of first copies whose id (or else key) is in a filter; some others may be among them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_copies, filter_, seen, pack = heads.value, wanted.value, set(), zstandard.ZstdCompressor(1)
+        first_copies, filter_, seen, pack = heads.value, wanted.value, set(), zstandard.ZstdCompressor(TEXT_LEVEL)
         for ids, raw, _, offsets, names in _documents(batches, "text"):
             out = []
             for i, (d, k) in enumerate(zip(ids.to_pylist(), names, strict=True)):
@@ -284,25 +293,26 @@ class _Held:
         rows = np.unique(bucket)
         edge, o_edge = np.searchsorted(bucket, [rows, rows + 1]), np.searchsorted(bucket[at], [rows, rows + 1])
         columns = {"bucket": pa.array(rows.astype(np.int32))}
+        pack = zstandard.ZstdCompressor(PACK_LEVEL).compress
         parts = {"anchor": anchor[which], "size": size[which].astype(np.int32), "least": least[which]}
-        columns |= {k: pa.array([x[a:b].tobytes() for a, b in edge.T], pa.binary()) for k, x in parts.items()}
-        columns["bytes"] = pa.array([data[ragged(begin[w], size[w])].tobytes() for w in (which[a:b] for a, b in edge.T)], pa.binary())
-        columns["context"] = pa.array([(at[a:b] - e).astype(np.int32).tobytes() for (a, b), e in zip(o_edge.T, edge[0], strict=True)], pa.binary())
-        columns |= {k: pa.array([x[a:b].tobytes() for a, b in o_edge.T], pa.binary()) for k, x in (("id", o_id), ("key", o_key), ("base", o_base))}
+        columns |= {k: pa.array([pack(x[a:b].tobytes()) for a, b in edge.T], pa.binary()) for k, x in parts.items()}
+        columns["bytes"] = pa.array([pack(data[ragged(begin[w], size[w])].tobytes()) for w in (which[a:b] for a, b in edge.T)], pa.binary())
+        columns["context"] = pa.array([pack((at[a:b] - e).astype(np.int32).tobytes()) for (a, b), e in zip(o_edge.T, edge[0], strict=True)], pa.binary())
+        columns |= {k: pa.array([pack(x[a:b].tobytes()) for a, b in o_edge.T], pa.binary()) for k, x in (("id", o_id), ("key", o_key), ("base", o_base))}
         self.clear()
         return pa.RecordBatch.from_arrays([columns[c] for c in ("bucket", *_PACKED)], ["bucket", *_PACKED])
 
 
-def _contexts(marked: DataFrame, width: int, anchor_buckets: int, buckets: int) -> DataFrame:
-    """Packed contexts and occurrences by bucket, from rows (id, key, z, marks: array of anchor, first, n)."""
+def _contexts(marked: DataFrame, width: int, anchor_buckets: int, buckets: int, hot) -> DataFrame:
+    """Packed contexts and occurrences by bucket, from rows (id, key, z, marks); hot: anchors and their further shares."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, held = zstandard.ZstdDecompressor(), _Held(buckets)
         for batch in batches:
             ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             zs, marks = batch.column(2), batch.column(3)
-            flat, edges = marks.values, marks.offsets.to_numpy()
-            m_anchor, m_first, m_n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            marked_anchor, edges = marks.values.to_numpy(zero_copy_only=False), marks.offsets.to_numpy()
+            hot_anchor, hot_shares = hot.value
             lo = 0
             while lo < batch.num_rows:
                 texts, size, hi = [], 0, lo
@@ -319,19 +329,23 @@ def _contexts(marked: DataFrame, width: int, anchor_buckets: int, buckets: int)
                 mark = np.full(len(own), -1, np.int64)
                 for d in range(hi - lo):
                     s, e = edges[lo + d], edges[lo + d + 1]
-                    order = np.argsort(m_anchor[s:e])
-                    mine = m_anchor[s:e][order]
+                    mine = marked_anchor[s:e]
+                    order = np.argsort(mine & ~_FIRST)
+                    mine = mine[order]
                     x = own[cuts[d] : cuts[d + 1]]
-                    at = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
-                    mark[cuts[d] : cuts[d + 1]] = np.where(mine[at] == x, order[at] + s, -1)
+                    at = np.minimum(np.searchsorted(mine & ~_FIRST, x), len(mine) - 1)
+                    mark[cuts[d] : cuts[d + 1]] = np.where(mine[at] & ~_FIRST == x, (mine[at] & _FIRST) != 0, -1)
                 which, first, last = a.chosen(mark >= 0)
                 if len(which):
                     doc = np.searchsorted(offsets, first, "right") - 1
                     end = last + width
-                    anchor, m = own[which], mark[which]
+                    anchor, shares = own[which], np.ones(len(which), np.int64)
+                    if len(hot_anchor):
+                        at = np.minimum(np.searchsorted(hot_anchor, anchor), len(hot_anchor) - 1)
+                        shares += np.where(hot_anchor[at] == anchor, hot_shares[at], 0)
                     named = tx.mix64(a.substring_hashes(first, end) ^ tx.mix64(anchor.view(np.uint64)))
                     owner = ids[lo + doc]
-                    held.add(named, anchor, 1 + m_n[m] // SHARE, owner, keys[lo + doc], first, end, offsets[doc], data, owner > m_first[m])
+                    held.add(named, anchor, shares, owner, keys[lo + doc], first, end, offsets[doc], data, mark[which] == 0)
                     if held.rows >= FLUSH // 4:
                         yield held.deal()
                 lo = hi
@@ -366,7 +380,8 @@ def _ranges(packed: DataFrame, width: int) -> DataFrame:
     """(key, lo, hi): byte ranges to remove, from packed contexts."""
 
     def decide(table: pa.Table) -> pa.Table:
-        get = lambda name: [np.frombuffer(x.as_py(), _PACKED[name]) for x in table.column(name)]
+        unpack = zstandard.ZstdDecompressor().decompress
+        get = lambda name: [np.frombuffer(unpack(x.as_py()), _PACKED[name]) for x in table.column(name)]
         parts = get("anchor")
         counts = [len(x) for x in parts]
         anchor, size, least, data = np.concatenate(parts), np.concatenate(get("size")).astype(np.int64), np.concatenate(get("least")), np.concatenate(get("bytes"))
@@ -427,12 +442,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     density = 2 / (width - GRAM + 2)
     anchor_buckets = int(max(16, total * density // BUCKET))
     heads = key_filter(_copy_keys(classes))
-    found = _recurring(rows, heads, width, anchor_buckets)
-    marks = found.groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("marks")).checkpoint()
+    share = max(SHARE, int(total * density) // MOST_HOT)
+    found = _recurring(rows, heads, width, anchor_buckets, share)
+    made = found.groupBy("id").agg(F.collect_list("anchor").alias("marks")).checkpoint()
+    # anchors of very many documents: their shares add up to MOST_HOT at most
+    hot = made.filter("id is null").select(F.explode("marks").alias("anchor")).groupBy("anchor").count().orderBy("anchor").toPandas()
+    hot = spark.sparkContext.broadcast((hot["anchor"].to_numpy(np.int64), hot["count"].to_numpy(np.int64)))
+    marks = made.filter("id is not null")
     many = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
     texts = _texts(rows, heads, key_filter(marks.select(F.col("id").alias("key"))), True)
     marked = texts.join(marks, "id").select("id", "key", "z", "marks")
-    ranges = _ranges(_contexts(marked, width, anchor_buckets, int(max(16, many // CONTEXTS))), width)
+    ranges = _ranges(_contexts(marked, width, anchor_buckets, int(max(16, many // CONTEXTS)), hot), width)
     ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).checkpoint()
     both = _texts(rows, heads, key_filter(ranges.select("key")), False).join(ranges, "key").select("key", "z", "ranges")
 

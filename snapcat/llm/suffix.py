@@ -25,6 +25,15 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _named(keys: np.ndarray) -> np.ndarray:
+    """_dense(), from a table instead of a sort where the keys are small."""
+    if len(keys) and int(keys.max()) < 4 * len(keys) + 65536:
+        there = np.zeros(int(keys.max()) + 1, np.int64)
+        there[keys] = 1
+        return np.cumsum(there)[keys]
+    return _dense(keys)
+
+
 def _joined(a: np.ndarray, b: np.ndarray, most_b: int) -> np.ndarray:
     """One key that orders by a, then b (both from 0); a is made dense first where the product would not fit."""
     if len(a) and int(a.max() + 1) * (most_b + 1) >= 1 << 62:
@@ -39,46 +48,43 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     of the string comes before every symbol.
     """
     n = len(s)
-    if n < 3 or depth <= 1:
-        if depth <= 1:
-            return _dense(s.astype(np.int64))
-        padded = np.concatenate((s.astype(np.int64), np.zeros(depth, np.int64)))
-        out = padded[:n]
-        for k in range(1, min(depth, n + 1)):
-            out = _joined(out, padded[k : k + n], int(padded.max()))
-        return _dense(out)
     p = np.zeros(n + 3, np.int64)
     p[:n] = s
-    top = int(p.max())
-    one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
-    sample = np.concatenate((one, two))
-    if (top + 1) ** 3 <= 1 << 25:  # names from a table instead of a sort
-        triples = (p[sample] * (top + 1) + p[sample + 1]) * (top + 1) + p[sample + 2]
-        there = np.zeros((top + 1) ** 3, bool)
-        there[triples] = True
-        names = np.cumsum(there, dtype=np.int64)[triples]
-    else:
-        names = _dense(_joined(_joined(p[sample], p[sample + 1], top), p[sample + 2], top))
-    if depth > 3 and int(names.max()) < len(names):
+    top = int(p.max()) if n else 0
+    if n < 3 or depth <= 3:
+        out = p[:n]
+        for k in range(1, min(depth, 3)):
+            out = _joined(out, p[k : k + n], top)
+        return _named(out)
+    sample = np.concatenate((np.arange(1, n, 3), np.arange(2, n, 3)))
+    ones = len(range(1, n, 3))
+    names = _named(_joined(_joined(p[sample], p[sample + 1], top), p[sample + 2], top))
+    if int(names.max()) < len(names):
         gap = np.zeros(3, np.int64)  # names of one residue do not run on into those of the other
-        inner = suffix_ranks(np.concatenate((names[: len(one)], gap, names[len(one) :])) + 1, -(-depth // 3))
-        names = _dense(np.concatenate((inner[: len(one)], inner[len(one) + 3 :])))
+        inner = suffix_ranks(np.concatenate((names[:ones], gap, names[ones:])) + 1, -(-depth // 3))
+        names = _named(np.concatenate((inner[:ones], inner[ones + 3 :])))
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names
     high = int(names.max())
     # the remaining suffixes, then the merge: a sample suffix is compared by one symbol or by two, so that ranks
-    # of sample suffixes decide
-    k1 = _joined(p, np.concatenate((rank[1:], [0])), high)
-    first, mid = k1[one], k1[zero]
-    pair = _joined(p, np.concatenate((p[1:], [0])), top)
-    k2 = _joined(pair, np.concatenate((rank[2:], [0, 0])), high)
-    second, mid2 = k2[two], k2[zero]
-    s1, s2, o1, o2 = np.sort(first), np.sort(second), np.sort(mid), np.sort(mid2)
+    # of sample suffixes decide; needles are in order, which makes the searches run along
+    one, two, zero = sample[:ones], sample[ones:], np.arange(0, n, 3)
+    by_one = lambda at: _joined(p[at], rank[at + 1], high)
+    pair = _joined(p[:-1], p[1:], top)
+    if (int(pair.max()) + 1) * (high + 1) >= 1 << 62:
+        pair = _named(pair)
+    by_two = lambda at: pair[at] * np.int64(high + 1) + rank[at + 2]
+    one, two = one[np.argsort(names[:ones], kind="stable")], two[np.argsort(names[ones:], kind="stable")]
+    mid = by_one(zero)
+    order = np.argsort(mid, kind="stable")
+    zero, mid = zero[order], mid[order]
+    mid2, s1, s2 = by_two(zero), by_one(one), by_two(two)
     out = np.empty(n, np.int64)
-    out[zero] = np.searchsorted(o1, mid) + np.searchsorted(s1, mid) + np.searchsorted(s2, mid2)
-    below = np.searchsorted(np.sort(names), names)
-    out[one] = below[: len(one)] + np.searchsorted(o1, first)
-    out[two] = below[len(one) :] + np.searchsorted(o2, second)
+    out[zero] = np.searchsorted(mid, mid) + np.searchsorted(s1, mid) + np.searchsorted(s2, mid2)
+    counts = np.bincount(names, minlength=high + 1)
+    below = np.cumsum(counts) - counts
+    out[one] = below[rank[one]] + np.searchsorted(mid, s1)
+    out[two] = below[rank[two]] + np.searchsorted(np.maximum.accumulate(mid2), s2)
     return out + 1
 
 
@@ -87,7 +93,8 @@ def prefix_classes(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarr
 
     All suffixes are put in order, then the prefixes of neighbours are compared. Positions must leave `width` bytes.
     """
-    ranks = suffix_ranks(data.astype(np.int64) + 1, width)[starts]
+    there = np.bincount(data, minlength=256) > 0
+    ranks = suffix_ranks(np.cumsum(there)[data], width)[starts]
     order = np.argsort(ranks, kind="stable")
     at = starts[order]
     new = np.zeros(len(at), bool)
