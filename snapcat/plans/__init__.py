@@ -1 +1 @@
-
+"""Plans: which object goes to which pack, what a restore does, what is published."""

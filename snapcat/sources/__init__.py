@@ -1 +1 @@
-
+"""Sources and sinks: file trees, archives, and the catalog's own files."""
