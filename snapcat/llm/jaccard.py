@@ -8,7 +8,7 @@ entries in the prefix with their frequencies, plus a comparison for every candid
 sum of frequencies over l. A pair is a candidate if it shares min(l of one, l of the other) prefix shingles, and as
 many as the rest of the sets cannot make up for.
 
-Equal sets are one node. Nodes first meet the smallest node of each shingle's list only; verified links give
+Equal sets are one node. Nodes first meet one node of each shingle's list only; verified links give
 components, and then every pair that shares enough prefix shingles and still lies in two components is verified too.
 So components are exact, while a group of thousands of near copies costs a few comparisons for each member.
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -252,33 +252,41 @@ def jaccard_components(
     hot = made.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold).toPandas()
     frequent = spark.sparkContext.broadcast(Frequent(hot["key"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)))
     buckets = int(max(16, total * (100 - percent) // 100 // BUCKET))
-    entries = prefix_entries(docs, text_col, width, percent, frequent, buckets).checkpoint()
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-
-    def enough(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for c in ("na", "nb", "la", "lb")])
-        # what lies behind the prefixes adds at most the longer of the two rests
-        overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-        rest = F.greatest(*[F.ceil(F.col("n" + x) * percent / 100) - F.col("l" + x) for x in "ab"])
-        return pairs.filter(F.col("shared") >= F.greatest(F.least("la", "lb"), overlap - rest)).select("a", "b")
-
-    heads = entries.groupBy("token").agg(F.min(F.struct("key", "n", "level")).alias("head"))
+    entries = prefix_entries(docs, text_col, width, percent, frequent, buckets)
+    # m: prefix shingles of a set that stand in another prefix too
+    entries = entries.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).checkpoint()
+    stats = ("n", "level", "m")
+
+    def need() -> Column:
+        """Prefix shingles that sets a and b must share; what lies behind the prefixes adds at most the longer rest."""
+        overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+        rest = F.greatest(*[F.ceil(F.col("n_" + x) * percent / 100) - F.col("level_" + x) for x in "ab"])
+        return F.greatest(F.least("level_a", "level_b"), overlap - rest)
+
+    def candidates(met: DataFrame) -> DataFrame:
+        """Of pairs met in a list (a, b and their stats), those of fitting sizes that share enough shingles."""
+        near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+        met = met.filter(near & (F.least("m_a", "m_b") >= need()))
+        columns = [f"{c}_{x}" for c in ("n", "level") for x in "ab"]
+        met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for c in columns])
+        return met.filter(F.col("shared") >= need()).select("a", "b")
+
+    # the set met first in a list is the one with the fewest shingles of its own: the likeliest to be the common source
+    own = (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("level") - F.col("m")).alias("own")
+    heads = entries.groupBy("token").agg(F.min(F.struct(own, "key", *stats)).alias("head"))
     star = entries.join(heads, "token").filter("key <> head.key")
-    star = enough(star.select(F.col("head.key").alias("a"), F.col("key").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"), F.col("head.level").alias("la"), F.col("level").alias("lb"))).checkpoint()
+    star = star.select(F.col("head.key").alias("a"), F.col("key").alias("b"), *[F.col(f"head.{c}").alias(f"{c}_a") for c in stats], *[F.col(c).alias(f"{c}_b") for c in stats])
+    star = candidates(star).checkpoint()
     links = verified(docs, star, text_col, width, percent).checkpoint()
     first = connected_components(links)
     # whatever shares enough prefix shingles and is not yet together
-    placed = entries.join(first, entries["key"] == first["node"], "left").select("token", "key", "n", "level", F.coalesce("component", "key").alias("comp"))
+    placed = entries.join(first, entries["key"] == first["node"], "left").select("token", "key", *stats, F.coalesce("component", "key").alias("comp"))
     split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     placed = placed.join(split, "token").checkpoint()
-    x = placed.select("token", *[F.col(c).alias(c + "_x") for c in ("key", "n", "level", "comp")])
-    y = placed.select("token", *[F.col(c).alias(c + "_y") for c in ("key", "n", "level", "comp")])
-    cross = x.join(y, "token").filter("comp_x < comp_y")
-    cross = enough(
-        cross.select(
-            F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"), F.col("level_x").alias("la"), F.col("level_y").alias("lb")
-        )
-    )
+    side = lambda x: placed.select("token", F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in (*stats, "comp")])
+    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least("m_a", "m_b") >= need())
+    cross = side("a").join(side("b"), "token").filter((F.col("comp_a") < F.col("comp_b")) & near)
+    cross = candidates(cross).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cross.join(star, ["a", "b"], "left_anti").checkpoint()
     more = verified(docs, cross, text_col, width, percent)
     linked = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
