@@ -1 +1 @@
-
+"""Incremental packing as a stream of snapshots."""
