@@ -35,7 +35,9 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(
+        F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
     extra = extra.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema.fields])
     chats = chat.read_back(chat.format_chats(turns.unionByName(extra)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -88,7 +90,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(u,) for u in LISTED_URLS], "url string")
+    listed = spark.range(1).select(F.explode(F.array(*[F.lit(u) for u in LISTED_URLS])).alias("url"))
     keys = urls.rule_keys(spark, URL_RULES).union(urls.url_keys(listed))
     return urls.filter_urls(table(spark, sf_dir, "pages"), keys)
 

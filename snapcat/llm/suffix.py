@@ -99,7 +99,7 @@ def prefix_classes(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarr
     at = starts[order]
     new = np.zeros(len(at), bool)
     wide = np.zeros(len(data), np.uint64)  # eight bytes from each position on
-    for k in range(8):
+    for k in range(min(8, len(data))):
         wide[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
     for k in [*range(0, width - 7, 8), *([width - 8] if width >= 8 else [])]:
         part = wide[at + k]

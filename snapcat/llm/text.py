@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: space, tab, line feed, vertical tab, form feed, carriage return separate words
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 

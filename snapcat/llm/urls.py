@@ -12,12 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: fixed values of the filter: bits set for a key, and the largest number of 64-bit blocks (32 MB as rows)
 BITS, MOST_BLOCKS = 4, 1 << 20
 
-KEY_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("key", "kind", "host", "path", "verdict")])
+KEY_COLUMNS = ("key", "kind", "host", "path", "verdict")
 
 
 def url_host(url: Column) -> Column:
@@ -37,7 +36,9 @@ def canonical(host: Column, path: Column) -> Column:
 
 def rule_keys(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Rules (host, path prefix, verdict) as listed keys."""
-    return spark.createDataFrame([(f"rule {h} {p}", "rule", h, p, v) for h, p, v in rules], KEY_SCHEMA)
+    made = [F.struct(*[F.lit(x).alias(n) for n, x in zip(KEY_COLUMNS, (f"rule {h} {p}", "rule", h, p, v), strict=True)]) for h, p, v in rules]
+    rows = spark.range(1).select(F.explode(F.array(*made)).alias("r")) if made else spark.range(0).select(F.struct(*[F.lit("").alias(n) for n in KEY_COLUMNS]).alias("r"))
+    return rows.select("r.*")
 
 
 def url_keys(listed: DataFrame, url_col: str = "url") -> DataFrame:
@@ -88,7 +89,7 @@ def filter_urls(
     """
     if blocks is None:
         blocks = min(MOST_BLOCKS, max(64, keys.count() // 4))
-    lengths = sorted(r[0] for r in keys.filter("kind = 'rule'").select(F.length("path")).distinct().limit(4096).collect())
+    lengths = sorted(r[0] for r in keys.filter("kind = 'rule'").select(F.length("path")).distinct().collect())
     rows = pages.select(F.col(id_col).alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     forms = rows.select("host", "path").distinct().filter("host <> ''")
     labels = F.split("host", r"\.")
