@@ -123,11 +123,11 @@ class Frequent:
         return np.where(self.hashes[at] == h, self.counts[at], 0)
 
 
-_ENTRY = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("level", pa.int32())])
+_ENTRY = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("hot", pa.bool_())])
 
 
 def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, frequent, buckets: int) -> DataFrame:
-    """Entries (token, key, n, level) of all prefixes whose shingle stands in at least two prefixes.
+    """Entries (token, key, n, level, hot) of all prefixes whose shingle stands in at least two prefixes.
 
     Entries travel as packed arrays, a row for each task and bucket. Frequent shingles are known to recur: their
     entries are dealt by document, so that no bucket gathers one.
@@ -179,10 +179,10 @@ def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, fre
         same = np.zeros(len(token) + 1, bool)
         same[1:-1] = token[1:] == token[:-1]
         kept = sure | same[1:] | same[:-1]
-        return pa.Table.from_arrays([pa.array(x[kept], f.type) for x, f in zip((token, key, n, level), _ENTRY, strict=True)], schema=_ENTRY)
+        return pa.Table.from_arrays([pa.array(x[kept], f.type) for x, f in zip((token, key, n, level, sure), _ENTRY, strict=True)], schema=_ENTRY)
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(make, "bucket int, token binary, key binary, n binary, level binary, sure binary")
-    return rows.groupBy("bucket").applyInArrow(join, "token long, key long, n int, level int")
+    return rows.groupBy("bucket").applyInArrow(join, "token long, key long, n int, level int, hot boolean")
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -253,8 +253,9 @@ def jaccard_components(
     frequent = spark.sparkContext.broadcast(Frequent(hot["key"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)))
     buckets = int(max(16, total * (100 - percent) // 100 // BUCKET))
     entries = prefix_entries(docs, text_col, width, percent, frequent, buckets)
-    # m: prefix shingles of a set that stand in another prefix too
-    entries = entries.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).checkpoint()
+    # m: prefix shingles of a set that stand in another prefix too; i: place among them, frequent ones last
+    own = Window.partitionBy("key")
+    entries = entries.withColumn("m", F.count(F.lit(1)).over(own)).withColumn("i", F.row_number().over(own.orderBy("hot", "token"))).drop("hot").checkpoint()
     stats = ("n", "level", "m")
 
     def need() -> Column:
@@ -263,30 +264,32 @@ def jaccard_components(
         rest = F.greatest(*[F.ceil(F.col("n_" + x) * percent / 100) - F.col("level_" + x) for x in "ab"])
         return F.greatest(F.least("level_a", "level_b"), overlap - rest)
 
-    def candidates(met: DataFrame) -> DataFrame:
-        """Of pairs met in a list (a, b and their stats), those of fitting sizes that share enough shingles."""
-        near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        met = met.filter(near & (F.least("m_a", "m_b") >= need()))
+    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least("m_a", "m_b") >= need())
+
+    def distinct(met: DataFrame) -> DataFrame:
         columns = [f"{c}_{x}" for c in ("n", "level") for x in "ab"]
-        met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for c in columns])
-        return met.filter(F.col("shared") >= need()).select("a", "b")
+        return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for c in columns])
 
     # the set met first in a list is the one with the fewest shingles of its own: the likeliest to be the common source
-    own = (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("level") - F.col("m")).alias("own")
-    heads = entries.groupBy("token").agg(F.min(F.struct(own, "key", *stats)).alias("head"))
+    alone = (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("level") - F.col("m")).alias("alone")
+    heads = entries.groupBy("token").agg(F.min(F.struct(alone, "key", *stats)).alias("head"))
     star = entries.join(heads, "token").filter("key <> head.key")
     star = star.select(F.col("head.key").alias("a"), F.col("key").alias("b"), *[F.col(f"head.{c}").alias(f"{c}_a") for c in stats], *[F.col(c).alias(f"{c}_b") for c in stats])
-    star = candidates(star).checkpoint()
+    star = distinct(star.filter(near)).filter(F.col("shared") >= need()).select("a", "b").checkpoint()
     links = verified(docs, star, text_col, width, percent).checkpoint()
     first = connected_components(links)
     # whatever shares enough prefix shingles and is not yet together
-    placed = entries.join(first, entries["key"] == first["node"], "left").select("token", "key", *stats, F.coalesce("component", "key").alias("comp"))
+    placed = entries.join(first, entries["key"] == first["node"], "left").select("token", "key", "i", *stats, F.coalesce("component", "key").alias("comp"))
     split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     placed = placed.join(split, "token").checkpoint()
-    side = lambda x: placed.select("token", F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in (*stats, "comp")])
-    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least("m_a", "m_b") >= need())
-    cross = side("a").join(side("b"), "token").filter((F.col("comp_a") < F.col("comp_b")) & near)
-    cross = candidates(cross).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    side = lambda x: placed.select("token", F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in (*stats, "i", "comp")])
+    # sets that share k of their m shingles share one of the first m - k + 1 of each; what they share is counted then
+    early = (F.col("i_a") <= F.col("m_a") - need() + 1) & (F.col("i_b") <= F.col("m_b") - need() + 1)
+    cross = distinct(side("a").join(side("b"), "token").filter((F.col("comp_a") < F.col("comp_b")) & near & early))
+    lists = entries.groupBy("key").agg(F.collect_list("token").alias("t"))
+    for x in "ab":
+        cross = cross.join(lists.withColumnsRenamed({"key": x, "t": "t_" + x}), x)
+    cross = cross.filter(F.size(F.array_intersect("t_a", "t_b")) >= need()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cross.join(star, ["a", "b"], "left_anti").checkpoint()
     more = verified(docs, cross, text_col, width, percent)
     linked = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
