@@ -140,3 +140,73 @@ ORACLES: dict[str, str] = {
         FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path
     """,
 }
+
+_CLOSURE_SQL = """, reach AS (
+            SELECT DISTINCT a AS node, a AS seen FROM links
+            UNION
+            SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen
+        ), comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)"""
+
+ORACLES |= {
+    "op2_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), e AS (
+            SELECT *, row_number() OVER w AS i, len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}+|[^\s\x0B\p{L}\p{M}\p{N}]')) + 4 AS n,
+                list_sum(list_transform([role, text], lambda x: length(replace(replace(replace(replace(replace(x, chr(92), chr(92) || chr(92)),
+                    '[INST]', '[' || chr(92) || 'INST]'), '[/INST]', '[' || chr(92) || '/INST]'), '<s>', '<' || chr(92) || 's>'), '</s>', '<' || chr(92) || '/s>')))) + 17 AS width
+            FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        ), p AS (
+            SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS fin FROM e
+        ), q AS (
+            SELECT *, (fin - 1) // 256 AS span FROM p
+        ), f AS (
+            SELECT conv_id, span, min(i) AS i0, min(fin - n) AS start, row_number() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS win FROM q GROUP BY conv_id, span
+        ), o AS (
+            SELECT f.conv_id, f.span, sum(CASE WHEN q.span = f.span OR (q.i < f.i0 AND f.start - (q.fin - q.n) <= 128 AND NOT (q.i = 1 AND q.role = 'system'))
+                OR (f.win > 0 AND q.i = 1 AND q.role = 'system') THEN q.width ELSE 0 END) AS chars
+            FROM f JOIN q ON q.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY f.conv_id, f.span
+        ), s AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id)
+        SELECT e.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            any_value(formatted_chars) AS formatted_chars
+        FROM e JOIN s ON e.conv_id IS NOT DISTINCT FROM s.conv_id GROUP BY e.conv_id
+    """,
+    "op3_embedding_neardup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        ok AS (
+            SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+            WHERE list_inner_product(x.e, y.e) / (sqrt(list_inner_product(x.e, x.e)) * sqrt(list_inner_product(y.e, y.e))) >= 0.98
+        ){_CLOSURE_SQL}, n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(least(component_id, vec_id), vec_id) AS component_id, coalesce(component_id >= vec_id, true) AS kept
+        FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN comp ON comp.node = vec_id
+    """,
+    "op5_jaccard_join": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS k FROM w)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+        ), links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+        ){_CLOSURE_SQL}
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN comp ON comp.node = w.doc_id
+    """,
+    "op8_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+        ), p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)
+        ), m AS (SELECT s, min(doc_id) AS m FROM p GROUP BY s
+        ), hit AS (SELECT p.doc_id, i FROM p JOIN m ON p.s = m.s AND m.m < p.doc_id
+        ), g AS (SELECT *, sum(CASE WHEN i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hit)
+        ), r AS (SELECT doc_id, k, min(i) AS lo, max(i) + 50 AS hi FROM g GROUP BY doc_id, k
+        ), q AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS past FROM r
+        ), t AS (
+            SELECT q.doc_id, CAST(sum(hi - lo) AS BIGINT) AS removed, count(*) AS spans, string_agg(substr(h, 2 * past + 1, 2 * (lo - past)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept
+            FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id
+        )
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+    """,
+}
