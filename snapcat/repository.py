@@ -257,7 +257,7 @@ def _extract(repo: str, dest: str):
     def run(rows):
         by_pack: dict[str, dict[bytes, list]] = {}
         for r in rows:
-            by_pack.setdefault(r["pack"], {}).setdefault(r["member_path"].encode("utf-8", "surrogateescape"), []).append(r)
+            by_pack.setdefault(r["pack"], {}).setdefault(r["member_path"].encode("latin-1"), []).append(r)
         for name, wanted in by_pack.items():
             left = sum(map(len, wanted.values()))
             for path, _, _, chunks in iter_members(os.path.join(repo, "packs", f"{name}.tar.zst")):
@@ -265,7 +265,7 @@ def _extract(repo: str, dest: str):
                     break  # nothing more is needed from this pack
                 if todo := wanted.get(path):
                     r = todo.pop(0)
-                    with open(os.path.join(os.fsencode(dest), r["path"].encode("utf-8", "surrogateescape")), "wb") as f:
+                    with open(os.path.join(os.fsencode(dest), r["path"].encode("latin-1")), "wb") as f:
                         for c in chunks:
                             f.write(c)
                     left -= 1
@@ -277,13 +277,15 @@ def restore(spark: SparkSession, repo: str, dest: str, label: str | None = None,
     """Rebuild a snapshot's tree; checks all paths and objects before it writes anything. value: files restored."""
     _register(spark)
     _, snapshot = _snapshot(spark, repo, label)
-    snapshot = snapshot.checkpoint()
-    index = catalog.read_index(spark, _index_path(repo)).checkpoint()
+    # paths as one character per byte: they reach Python unharmed and keep their order
+    plain = lambda c: F.decode(c, "ISO-8859-1")
+    snapshot = snapshot.withColumn("path", plain("path_bytes")).withColumn("target", plain("target_bytes")).checkpoint()
+    index = catalog.read_index(spark, _index_path(repo)).withColumn("path", plain("path_bytes")).checkpoint()
     unsafe, missing = restoring.preflight(snapshot, index).first()
     if unsafe or missing:
         raise Fatal(f"{unsafe} unsafe paths, {missing} objects missing from the index")
     plan = restoring.restore_plan(snapshot, index, parity).checkpoint()
-    full = lambda p: os.path.join(os.fsencode(dest), p.encode("utf-8", "surrogateescape"))
+    full = lambda p: os.path.join(os.fsencode(dest), p.encode("latin-1"))
     ordered = lambda phase: plan.filter(F.col("phase") == phase).orderBy("ord").toLocalIterator()
     os.makedirs(dest, exist_ok=True)
     for r in ordered(restoring.MAKE_DIR):
@@ -308,7 +310,7 @@ def restore(spark: SparkSession, repo: str, dest: str, label: str | None = None,
             if make:
                 make(full(r["target"]), full(r["path"]))
             else:
-                os.symlink(r["target"].encode("utf-8", "surrogateescape"), full(r["path"]))
+                os.symlink(r["target"].encode("latin-1"), full(r["path"]))
     meta = snapshot.select("path", "mode", "uid", "gid", "mtime_sec", "mtime_nsec", "atime_sec", "atime_nsec")
     steps = plan.filter(F.col("phase").isin(restoring.FILE_META, restoring.DIR_META)).join(meta, "path").orderBy("phase", "ord")
     for r in steps.toLocalIterator():
