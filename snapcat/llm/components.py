@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: rows of an Arrow batch: texts are long, and a Python worker holds a batch at a time
+BATCH_ROWS = 1000
+
+
 def checkpoint_dir(spark) -> None:
-    """Make sure that a checkpoint folder is set: the one the cluster names, else (tests) one under /tmp."""
+    """Make sure that a checkpoint folder is set (the one the cluster names, else, for tests, one under /tmp) and that
+    Arrow batches are small enough for long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")

@@ -127,7 +127,7 @@ _ENTRY = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()
 
 
 def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, frequent, buckets: int) -> DataFrame:
-    """Entries (token, key, n, level, hot) of all prefixes whose shingle stands in at least two prefixes.
+    """Entries (token, key, n, level, hot) of all prefixes whose shingle stands in another prefix of a set of fitting size.
 
     Entries travel as packed arrays, a row for each task and bucket. Frequent shingles are known to recur: their
     entries are dealt by document, so that no bucket gathers one.
@@ -172,13 +172,14 @@ def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, fre
     def join(table: pa.Table) -> pa.Table:
         get = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
         token, key, n, level, sure = get("token", np.int64), get("key", np.int64), get("n", np.int32), get("level", np.int32), get("sure", bool)
-        order = np.lexsort((key, token))
+        order = np.lexsort((key, n, token))
         token, key, n, level, sure = (x[order] for x in (token, key, n, level, sure))
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])))
         token, key, n, level, sure = (x[new] for x in (token, key, n, level, sure))
-        same = np.zeros(len(token) + 1, bool)
-        same[1:-1] = token[1:] == token[:-1]
-        kept = sure | same[1:] | same[:-1]
+        # by size, the next smaller or larger set of the list must be of a fitting size, or none is
+        fits = np.zeros(len(token) + 1, bool)
+        fits[1:-1] = (token[1:] == token[:-1]) & (n[:-1] * np.int64(100) >= n[1:] * np.int64(percent))
+        kept = sure | fits[1:] | fits[:-1]
         return pa.Table.from_arrays([pa.array(x[kept], f.type) for x, f in zip((token, key, n, level, sure), _ENTRY, strict=True)], schema=_ENTRY)
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(make, "bucket int, token binary, key binary, n binary, level binary, sure binary")
@@ -255,36 +256,41 @@ def jaccard_components(
     entries = prefix_entries(docs, text_col, width, percent, frequent, buckets)
     # m: prefix shingles of a set that stand in another prefix too; i: place among them, frequent ones last
     own = Window.partitionBy("key")
-    entries = entries.withColumn("m", F.count(F.lit(1)).over(own)).withColumn("i", F.row_number().over(own.orderBy("hot", "token"))).drop("hot").checkpoint()
-    stats = ("n", "level", "m")
+    entries = entries.withColumn("m", F.count(F.lit(1)).over(own)).withColumn("i", F.row_number().over(own.orderBy("hot", "token")))
+    # n (30 bits), m (28) and level (4) travel as one number: entries are what is shuffled most
+    stat = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("m"), 4)).bitwiseOR(F.col("level").cast("long"))
+    entries = entries.select("token", "key", "i", stat.alias("stat")).checkpoint()
+    n_of = lambda c: F.shiftrightunsigned(c, 32)
+    m_of = lambda c: F.shiftrightunsigned(c, 4).bitwiseAND(F.lit((1 << 28) - 1))
+    level_of = lambda c: F.col(c).bitwiseAND(F.lit(15))
 
     def need() -> Column:
         """Prefix shingles that sets a and b must share; what lies behind the prefixes adds at most the longer rest."""
-        overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-        rest = F.greatest(*[F.ceil(F.col("n_" + x) * percent / 100) - F.col("level_" + x) for x in "ab"])
-        return F.greatest(F.least("level_a", "level_b"), overlap - rest)
+        overlap = F.ceil((n_of("stat_a") + n_of("stat_b")) * percent / (100 + percent))
+        rest = F.greatest(*[F.ceil(n_of(c) * percent / 100) - level_of(c) for c in ("stat_a", "stat_b")])
+        return F.greatest(F.least(level_of("stat_a"), level_of("stat_b")), overlap - rest)
 
-    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least("m_a", "m_b") >= need())
+    n_both = n_of("stat_a"), n_of("stat_b")
+    near = (F.least(*n_both) * 100 >= F.greatest(*n_both) * percent) & (F.least(m_of("stat_a"), m_of("stat_b")) >= need())
 
     def distinct(met: DataFrame) -> DataFrame:
-        columns = [f"{c}_{x}" for c in ("n", "level") for x in "ab"]
-        return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for c in columns])
+        return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("stat_a").alias("stat_a"), F.max("stat_b").alias("stat_b"))
 
     # the set met first in a list is the one with the fewest shingles of its own: the likeliest to be the common source
-    alone = (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("level") - F.col("m")).alias("alone")
-    heads = entries.groupBy("token").agg(F.min(F.struct(alone, "key", *stats)).alias("head"))
+    alone = (n_of("stat") - F.ceil(n_of("stat") * percent / 100) + level_of("stat") - m_of("stat")).alias("alone")
+    heads = entries.groupBy("token").agg(F.min(F.struct(alone, "key", "stat")).alias("head"))
     star = entries.join(heads, "token").filter("key <> head.key")
-    star = star.select(F.col("head.key").alias("a"), F.col("key").alias("b"), *[F.col(f"head.{c}").alias(f"{c}_a") for c in stats], *[F.col(c).alias(f"{c}_b") for c in stats])
+    star = star.select(F.col("head.key").alias("a"), F.col("key").alias("b"), F.col("head.stat").alias("stat_a"), F.col("stat").alias("stat_b"))
     star = distinct(star.filter(near)).filter(F.col("shared") >= need()).select("a", "b").checkpoint()
     links = verified(docs, star, text_col, width, percent).checkpoint()
     first = connected_components(links)
     # whatever shares enough prefix shingles and is not yet together
-    placed = entries.join(first, entries["key"] == first["node"], "left").select("token", "key", "i", *stats, F.coalesce("component", "key").alias("comp"))
+    placed = entries.join(first, entries["key"] == first["node"], "left").select("token", "key", "i", "stat", F.coalesce("component", "key").alias("comp"))
     split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     placed = placed.join(split, "token").checkpoint()
-    side = lambda x: placed.select("token", F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in (*stats, "i", "comp")])
+    side = lambda x: placed.select("token", F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("stat", "i", "comp")])
     # sets that share k of their m shingles share one of the first m - k + 1 of each; what they share is counted then
-    early = (F.col("i_a") <= F.col("m_a") - need() + 1) & (F.col("i_b") <= F.col("m_b") - need() + 1)
+    early = (F.col("i_a") <= m_of("stat_a") - need() + 1) & (F.col("i_b") <= m_of("stat_b") - need() + 1)
     cross = distinct(side("a").join(side("b"), "token").filter((F.col("comp_a") < F.col("comp_b")) & near & early))
     lists = entries.groupBy("key").agg(F.collect_list("token").alias("t"))
     for x in "ab":
