@@ -2,8 +2,9 @@
 
 The field tags every blank-separated word as B (a secret begins), I (inside one) or O (outside) from the word's shape,
 the kinds of its neighbours and features of the file, and decodes by Viterbi. It is trained by maximum likelihood on a
-bounded sample of documents, in which the matches of the fixed patterns are the labels; a share of the training
-windows has the neighbour features blanked, so that shape alone carries weight too.
+bounded sample of documents, in which the matches of the fixed patterns are the labels, and on windows of the same texts into
+which invented secrets and look-alikes are put; a share of the training windows has the neighbour features blanked, so
+that shape alone carries weight too.
 
 Whole texts are tagged. Words whose emission scores rule out B and I whatever their neighbours are (an exact bound
 from the transition scores) split the chain, so Viterbi runs on the short stretches between them only.
@@ -247,6 +248,49 @@ def _fit(x: np.ndarray, y: np.ndarray, on: np.ndarray, steps: int, l2: float) ->
     return CrfModel(w.astype(np.float32), t.astype(np.float32))
 
 
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!@#$%&*")
+_PREFIXES = ("", "", "", "", "sk_live_", "pk_test_", "ghp_", "xoxb-", "key-", "eyJ")
+_JOINTS = (("=", ""), (":", ""), ("=", '"'), (":", '"'), ("", ""), ("is", ""), ("=", "'"))
+
+
+def invent(texts: list[str], rng: np.random.Generator, window: int, many: int = 1500) -> list[list[tuple[str, int]]]:
+    """Training windows of (word, state) with invented secrets in real surroundings, and with things that are none.
+
+    The patterns' matches in a corpus look much alike; other alphabets, lengths, key words and joints make the field
+    learn what they have in common. Names of keys before plain words, numbers, addresses and hosts are the contrast.
+    """
+    pools = [w for w in (t.split()[:400] for t in texts[:: max(1, len(texts) // 200)]) if len(w) > window]
+    if not pools:
+        pools = [["text"] * (window + 1)]
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    draw = lambda alphabet, n: "".join(alphabet[k] for k in rng.integers(0, len(alphabet), n))
+    digits = lambda n: draw("0123456789", n)
+    out = []
+    for i in range(many):
+        words = pick(pools)
+        at = int(rng.integers(0, len(words) - window + 1))
+        left, right = words[at : at + window // 2 - 3], words[at + window // 2 : at + window - 2]
+        key = pick(_KEYWORDS)
+        key = key.upper() if rng.random() < 0.2 else key
+        kind = i % 6
+        if kind < 3:
+            joint, quote = pick(_JOINTS)
+            value = pick(_PREFIXES) + draw(pick(_ALPHABETS), int(rng.integers(16, 64)))
+            glued = joint in ("=", ":") and rng.random() < 0.4
+            middle = [(key + joint, 0)] if glued else [(key, 0), *([(joint, 0)] if joint else [])]
+            middle.append((quote + value + quote, 1))
+        elif kind == 3:  # plain words after the name of a key
+            middle = [(key + str(pick(("", ":", "="))), 0), *[(w, 0) for w in pick(pools)[:3]]]
+        else:
+            other = pick((
+                f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", digits(16), f"{digits(3)}.{digits(2)}.{digits(3)}.{digits(1)}", f"{pick(pools)[0]}.{digits(2)}@mail.example", f"https://{pick(pools)[0]}.example.com/{digits(5)}.html",
+                "=" * int(rng.integers(3, 40)), f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}", pick(pools)[0] * int(rng.integers(1, 6)), f"id={digits(7)}", f"<{pick(pools)[0]}>%%%",
+            ))
+            middle = [(w, 0) for w in str(other).split()]
+        out.append([*[(w, 0) for w in left], *middle, *[(w, 0) for w in right]][:window])
+    return out
+
+
 def fit_texts(texts: list[str], window: int = 24, steps: int = 120, l2: float = 1e-4, seed: int = 7) -> CrfModel:
     """Train on texts labelled by the fixed patterns; see train_crf."""
     rng = np.random.default_rng(seed)
@@ -281,6 +325,12 @@ def fit_texts(texts: list[str], window: int = 24, steps: int = 120, l2: float =
                 ys.append(y[k:e])
     if not positive:
         return CrfModel.silent()
+    invented = invent(texts, rng, window)
+    data, offsets = tx.string_buffers(pa.array([" ".join(w for w, _ in d) for d in invented], pa.string()))
+    _, _, first, x = features(data, offsets)
+    for d, own in enumerate(invented):
+        xs.append(x[:, int(first[d]) : int(first[d + 1])])
+        ys.append(np.array([k for _, k in own], np.int64))
     n = len(xs)
     x = np.full((len(_SIZES), n, window), N_FEATURES, np.int64)
     y, on = np.zeros((n, window), np.int64), np.zeros((n, window), bool)
