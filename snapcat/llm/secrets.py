@@ -291,7 +291,7 @@ def invent(texts: list[str], rng: np.random.Generator, window: int, many: int =
     return out
 
 
-def fit_texts(texts: list[str], window: int = 24, steps: int = 120, l2: float = 1e-4, seed: int = 7) -> CrfModel:
+def fit_texts(texts: list[str], window: int = 24, steps: int = 200, l2: float = 5e-5, seed: int = 7) -> CrfModel:
     """Train on texts labelled by the fixed patterns; see train_crf."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
