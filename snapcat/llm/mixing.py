@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import checkpoint_dir
+
 #: words are separated by these characters only
 WORD = r"[^\x20\x09-\x0D]+"
 #: groups of one source and size are cut into so many slices of ids
@@ -78,8 +80,9 @@ def mix_sources(
 
 
 def mix_sizes(rows: DataFrame, cap: float = 3.0, seed: int = 42) -> DataFrame:
-    """mix_sources() for rows (_id, source, size)."""
-    rows = rows.withColumn("_slice", id_slice(F.col("_id")))
+    """mix_sources() for rows (_id, source, size); texts are counted once, the small rows are checkpointed."""
+    checkpoint_dir(rows.sparkSession)
+    rows = rows.withColumn("_slice", id_slice(F.col("_id"))).checkpoint()
     groups = rows.groupBy("source", "size", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     sizes = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"))
     targets = source_targets(sizes, cap)
