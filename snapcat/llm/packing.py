@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import checkpoint_dir
+
 CAPACITIES = (512, 1024, 2048, 4096)
 BIN_COST = 16
 SHARD_PIECES = 8192
@@ -106,7 +108,8 @@ def pack_documents(
     most = max(capacities)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(size.cast("long"), F.lit(0)).alias("_n")).filter("_n > 0")
     # repeated rows are told apart by counting them
-    rows = rows.groupBy("_id", "_n").agg(F.count(F.lit(1)).alias("_copies"))
+    checkpoint_dir(docs.sparkSession)
+    rows = rows.groupBy("_id", "_n").agg(F.count(F.lit(1)).alias("_copies")).checkpoint()
     total = rows.agg(F.sum(F.col("_copies") * F.ceil(F.col("_n") / most))).first()[0] or 0
     shards = max(1, -(-total // shard_pieces))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
