@@ -7,6 +7,7 @@ repositories are local or mounted folders that driver and executors share.
 
 from __future__ import annotations
 
+import hashlib
 import logging
 import os
 import shutil
@@ -254,21 +255,29 @@ def verify(spark: SparkSession, repo: str, deep: bool = False) -> Result:
 
 
 def _extract(repo: str, dest: str):
-    def run(rows):
-        by_pack: dict[str, dict[bytes, list]] = {}
+    """A function over batches of (pack, path, member_path): writes the bodies, returns (pack, member_path, size, sha256)."""
+
+    def run(batches):
+        rows = [r for b in batches for r in b.itertuples(index=False)]
+        by_pack: dict[str, dict[bytes, list[str]]] = {}
         for r in rows:
-            by_pack.setdefault(r["pack"], {}).setdefault(r["member_path"].encode("latin-1"), []).append(r)
+            by_pack.setdefault(r.pack, {}).setdefault(r.member_path.encode("latin-1"), []).append(r.path)
+        out = []
         for name, wanted in by_pack.items():
             left = sum(map(len, wanted.values()))
-            for path, _, _, chunks in iter_members(os.path.join(repo, "packs", f"{name}.tar.zst")):
-                if not left:
-                    break  # nothing more is needed from this pack
-                if todo := wanted.get(path):
-                    r = todo.pop(0)
-                    with open(os.path.join(os.fsencode(dest), r["path"].encode("latin-1")), "wb") as f:
+            for member, _, _, chunks in iter_members(os.path.join(repo, "packs", f"{name}.tar.zst")):
+                if todo := wanted.get(member):
+                    digest, size = hashlib.sha256(), 0
+                    with open(os.path.join(os.fsencode(dest), todo.pop(0).encode("latin-1")), "wb") as f:
                         for c in chunks:
                             f.write(c)
+                            digest.update(c)
+                            size += len(c)
+                    out.append((name, member.decode("latin-1"), size, digest.hexdigest()))
                     left -= 1
+                if not left:
+                    break  # nothing more is needed from this pack
+        yield pd.DataFrame(out, columns=["pack", "member_path", "size", "sha256"])
 
     return run
 
@@ -290,8 +299,12 @@ def restore(spark: SparkSession, repo: str, dest: str, label: str | None = None,
     os.makedirs(dest, exist_ok=True)
     for r in ordered(restoring.MAKE_DIR):
         os.makedirs(full(r["path"]), mode=0o700, exist_ok=True)
-    restoring.restore_work(plan).select("pack", "path", "member_path").foreachPartition(_extract(repo, dest))
-    warnings, n = [], 0
+    work = restoring.restore_work(plan).select("pack", "path", "member_path")
+    written = work.mapInPandas(_extract(repo, dest), "pack string, member_path string, size long, sha256 string").checkpoint()
+    packed = index.select("pack", F.col("path").alias("member_path"), F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
+    differs = (F.col("size") != F.col("_size")) | ((F.col("_sha") != "") & (F.col("sha256") != F.col("_sha")))
+    wrong = written.join(packed, ["pack", "member_path"]).filter(differs)
+    warnings, n = [f"{r['member_path']}: size or digest differs from the index" for r in wrong.toLocalIterator()], 0
     sizes = {r["path"]: r for r in snapshot.filter("type = 'file' and size = 0").select("path").toLocalIterator()}
     for r in plan.filter("action = 'extract'").select("path").toLocalIterator():
         n += 1

@@ -167,6 +167,19 @@ def test_restore_checks_before_it_writes(spark, place):
     assert not os.path.exists(back)
 
 
+def test_restore_compares_with_the_index(spark, place):
+    root, repo, back = place
+    repository.scan(spark, root, repo, "1")
+    repository.pack(spark, repo)
+    path = os.path.join(repo, "objects/objects.jsonl")
+    with open(path) as f:
+        lines = [json.loads(x) for x in f]
+    next(x for x in lines if x.get("path") == "a.txt")["sha256"] = "0" * 64
+    with open(path, "w") as f:
+        f.writelines(json.dumps(x) + "\n" for x in lines)
+    assert repository.restore(spark, repo, back).warnings == ["a.txt: size or digest differs from the index"]
+
+
 def test_latest_label(tmp_path):
     for n in ("a.jsonl", "a-b.jsonl", ".jsonl", "zzz.txt"):
         write(str(tmp_path), f"snapshots/{n}", b"")
