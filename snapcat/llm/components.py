@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,15 @@ def checkpoint_dir(spark) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
 
 
+def release(spark) -> None:
+    """Between phases of a long job: let Spark drop the shuffle files of finished ones.
+
+    They stay until the driver's JVM collects the plans that refer to them, which otherwise may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of every node of the edges (a, b); component is the smallest node number it is linked to.
 

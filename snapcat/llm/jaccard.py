@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .components import checkpoint_dir, connected_components
+from .components import checkpoint_dir, connected_components, release
 from .keyfilter import key_filter
 
 #: shingles held by a task before it passes them on
@@ -260,6 +260,7 @@ def jaccard_components(
     # n (30 bits), m (28) and level (4) travel as one number: entries are what is shuffled most
     stat = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("m"), 4)).bitwiseOR(F.col("level").cast("long"))
     entries = entries.select("token", "key", "i", stat.alias("stat")).checkpoint()
+    release(spark)
     n_of = lambda c: F.shiftrightunsigned(c, 32)
     m_of = lambda c: F.shiftrightunsigned(c, 4).bitwiseAND(F.lit((1 << 28) - 1))
     level_of = lambda c: F.col(c).bitwiseAND(F.lit(15))
@@ -283,6 +284,7 @@ def jaccard_components(
     star = star.select(F.col("head.key").alias("a"), F.col("key").alias("b"), F.col("head.stat").alias("stat_a"), F.col("stat").alias("stat_b"))
     star = distinct(star.filter(near)).filter(F.col("shared") >= need()).select("a", "b").checkpoint()
     links = verified(docs, star, text_col, width, percent).checkpoint()
+    release(spark)
     first = connected_components(links)
     # whatever shares enough prefix shingles and is not yet together
     placed = entries.join(first, entries["key"] == first["node"], "left").select("token", "key", "i", "stat", F.coalesce("component", "key").alias("comp"))
@@ -297,6 +299,7 @@ def jaccard_components(
         cross = cross.join(lists.withColumnsRenamed({"key": x, "t": "t_" + x}), x)
     cross = cross.filter(F.size(F.array_intersect("t_a", "t_b")) >= need()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cross.join(star, ["a", "b"], "left_anti").checkpoint()
+    release(spark)
     more = verified(docs, cross, text_col, width, percent)
     linked = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.join(linked, classes["key"] == linked["node"], "left").select(F.col("key").alias("k"), "least", F.coalesce("component", "key").alias("comp"))

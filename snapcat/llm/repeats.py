@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .components import checkpoint_dir
+from .components import checkpoint_dir, release
 from .keyfilter import key_filter
 from .suffix import prefix_classes
 
@@ -445,6 +445,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     share = max(SHARE, int(total * density) // MOST_HOT)
     found = _recurring(rows, heads, width, anchor_buckets, share)
     made = found.groupBy("id").agg(F.collect_list("anchor").alias("marks")).checkpoint()
+    release(spark)
     # anchors of very many documents: their shares add up to MOST_HOT at most
     hot = made.filter("id is null").select(F.explode("marks").alias("anchor")).groupBy("anchor").count().orderBy("anchor").toPandas()
     hot = spark.sparkContext.broadcast((hot["anchor"].to_numpy(np.int64), hot["count"].to_numpy(np.int64)))
@@ -454,6 +455,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = texts.join(marks, "id").select("id", "key", "z", "marks")
     ranges = _ranges(_contexts(marked, width, anchor_buckets, int(max(16, many // CONTEXTS)), hot), width)
     ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).checkpoint()
+    release(spark)
     both = _texts(rows, heads, key_filter(ranges.select("key")), False).join(ranges, "key").select("key", "z", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
