@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import re
 import sys
 
@@ -67,6 +68,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from . import repository
     from .plans import publish
 
+    logging.getLogger("snapcat").setLevel(logging.INFO if getattr(a, "verbose", False) else logging.WARNING)
     spark = spark or SparkSession.builder.appName("snapcat").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if a.command == "scan":

@@ -105,6 +105,7 @@ def scan(spark: SparkSession, root: str, repo: str, label: str | None = None, ha
     names = [f.name for f in ENTRY.fields]
     resolved = resolved.select(*[F.col(n) for n in names]).checkpoint()
     n = catalog.write_snapshot(resolved, os.path.join(repo, "snapshots", f"{label}.jsonl"), os.path.abspath(root), int(time.time()))
+    log.info("scanned %s: %d entries", root, n)
     known, new = objects.agg(F.count_if("known"), F.count_if(~F.col("known"))).first()
     said = [f"{bytes(w['path_bytes']).decode(errors='replace')}: {w['warning']}" for w in warnings.filter("severity > 0").toLocalIterator()]
     return Result({"label": label, "entries": n, "known": known, "new": new}, said)
@@ -199,6 +200,8 @@ def pack(spark: SparkSession, repo: str, label: str | None = None, target: int =
         rows.write.format("snapcat_packs").mode("append").option("repo", repo).option("root", header["root"]).save()
     except Exception as e:
         raise Fatal(f"packing failed: {str(e)[:500]}") from e
+    for name in names:
+        log.info("packed %s", name)
     sizes = catalog.read_index(spark, _index_path(repo)).filter(F.col("pack").isin(names)).select("object_id", F.col("size").alias("packed"))
     for r in planned.join(sizes, "object_id").filter("packed <> size").select("path").toLocalIterator():
         warnings.append(f"{r['path']}: changed since the scan")
@@ -308,6 +311,7 @@ def restore(spark: SparkSession, repo: str, dest: str, label: str | None = None,
     sizes = {r["path"]: r for r in snapshot.filter("type = 'file' and size = 0").select("path").toLocalIterator()}
     for r in plan.filter("action = 'extract'").select("path").toLocalIterator():
         n += 1
+        log.info("restored %s", r["path"])
         if not os.path.lexists(full(r["path"])):
             if r["path"] in sizes:
                 open(full(r["path"]), "wb").close()
