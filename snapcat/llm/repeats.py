@@ -157,7 +157,7 @@ def _named(docs: DataFrame) -> DataFrame:
 def _recurring(docs: DataFrame, heads, width: int, buckets: int, share: int) -> DataFrame:
     """(id, anchor) of anchors that occur under two ids; under id null, once for every `share` ids more, the hot ones.
 
-    heads: filter of (text, smallest id); other copies of a text are passed over.
+    heads: filter of (text, smallest id); most other copies of a text are passed over.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +377,7 @@ def resolve(anchor: np.ndarray, size: np.ndarray, begin: np.ndarray, data: np.nd
 
 
 def _ranges(packed: DataFrame, width: int) -> DataFrame:
-    """(key, lo, hi): byte ranges to remove, from packed contexts."""
+    """(key, id, lo, hi): byte ranges to remove from a text as its copy under that id, from packed contexts."""
 
     def decide(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -411,9 +411,9 @@ def _ranges(packed: DataFrame, width: int) -> DataFrame:
         starts, ends = np.flatnonzero(gone & (~before | edge[:-1])), np.flatnonzero(gone & (~after | edge[1:]))
         occ = np.searchsorted(total, starts, "right")
         shift = base[occ] - (total - many)[occ]
-        return pa.table({"key": key[occ], "lo": (starts + shift).astype(np.int32), "hi": (ends + shift + width).astype(np.int32)})
+        return pa.table({"key": key[occ], "id": doc[occ], "lo": (starts + shift).astype(np.int32), "hi": (ends + shift + width).astype(np.int32)})
 
-    return packed.groupBy("bucket").applyInArrow(decide, "key long, lo int, hi int")
+    return packed.groupBy("bucket").applyInArrow(decide, "key long, id long, lo int, hi int")
 
 
 def merge_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -454,7 +454,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _texts(rows, heads, key_filter(marks.select(F.col("id").alias("key"))), True)
     marked = texts.join(marks, "id").select("id", "key", "z", "marks")
     ranges = _ranges(_contexts(marked, width, anchor_buckets, int(max(16, many // CONTEXTS)), hot), width)
-    ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).checkpoint()
+    # the filter lets some later copies through; what they find in the first copy is dropped here
+    ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("id", "lo", "hi")).alias("ranges")).join(classes.select("key", "least"), "key")
+    own = F.transform(F.filter("ranges", lambda r: r["id"] == F.col("least")), lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi")))
+    ranges = ranges.select("key", own.alias("ranges")).filter(F.size("ranges") > 0).checkpoint()
     release(spark)
     both = _texts(rows, heads, key_filter(ranges.select("key")), False).join(ranges, "key").select("key", "z", "ranges")
 

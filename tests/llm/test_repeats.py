@@ -71,6 +71,16 @@ def test_edge_cases(spark):
     assert run(spark, [(1, None), (2, ""), (3, "short")]) == brute([(1, None), (2, ""), (3, "short")])
 
 
+def test_later_copies_that_pass_the_filter(spark):
+    rng = np.random.default_rng(4)
+    texts = [words(rng, 12, 10**6) for _ in range(3000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, t) for i, t in enumerate(texts)]
+    # (a few of them do: the filter has 2 probes and at most 16 bits a key)
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert all(r[2] == 0 for r in got[:3000])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=90), st.integers(1, 60))
 def test_suffix_ranks_order_prefixes(s, depth):
