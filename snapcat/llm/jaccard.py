@@ -310,15 +310,18 @@ def jaccard_components(
 
 
 def one_per_group(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """Keep of each component the document with the smallest doc_id (of repeated rows one); columns as they are.
+    """Keep one row of each component and every row without words; columns as they are.
 
-    Documents without words stay. Texts are shuffled once: the window needs the partitioning that the join leaves.
+    The row with the smallest doc_id stays (null is larger than any), among equal ids the one with the smallest text
+    hash, of repeated rows one. Ids need not be unique: a row is named by its id and the hash of its text. Texts are
+    shuffled once: the window needs the partitioning that the join leaves.
     """
     names = docs.columns
-    found = jaccard_components(docs, "doc_id", "text", percent, width)
-    gone = found.groupBy("doc_id").agg(F.min(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("head"), F.max(F.col("set_key").isNull()).alias("blank"), F.count(F.lit(1)).alias("m"))
-    gone = gone.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_k"), "head", "blank", "m")
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_k"))
-    both = rows.join(gone, "_k").filter("head or blank or m > 1")
-    both = both.withColumn("_j", F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64("_row.text"))))
-    return both.filter("head or blank").filter("_j = 1 or blank").select("_row.*")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    found = jaccard_components(docs.select(own.alias("row"), "text"), "row", "text", percent, width)
+    key = lambda c: [F.col(f"{c}.none").alias("_n"), F.coalesce(F.col(f"{c}.id").cast("string"), F.lit("")).alias("_k"), F.col(f"{c}.hash").alias("_h")]
+    kept = found.filter(F.col("component_id").eqNullSafe(F.col("row"))).select(*key("row"), F.col("set_key").isNull().alias("blank")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), own.alias("_own")).select("_row", *key("_own"))
+    both = rows.join(kept, ["_n", "_k", "_h"])
+    both = both.withColumn("_j", F.row_number().over(Window.partitionBy("_n", "_k", "_h").orderBy("blank")))
+    return both.filter("_j = 1 or blank").select("_row.*")

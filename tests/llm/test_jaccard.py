@@ -111,3 +111,14 @@ def test_prefixes_share_enough(n, m, data):
     got = len(out[0][1] & out[1][1])
     assert got >= min(out[0][0], out[1][0])
     assert got >= -(-75 * (len(a) + len(b)) // 175) - max(out[0][2], out[1][2])
+
+
+def test_one_per_group_with_null_and_repeated_ids(spark, docs):
+    rng = np.random.default_rng(8)
+    a, b, c, d, e, f = (words(rng, 40, 10**6) for _ in range(6))
+    near = f + " more"
+    rows = [(None, a, "x", "s"), (None, b, "x", "s"), (None, b, "x", "s"), (7, c, "x", "s"), (7, d, "x", "s"), (7, near, "x", "s"), (3, f, "x", "s"), (None, f, "x", "s")]
+    rows += [(9, e, "x", "s"), (9, e, "x", "s"), (None, None, "x", "s"), (None, " ", "x", "s"), (7, "", "x", "s")]
+    got = [(r.doc_id, r.text) for r in jaccard.one_per_group(docs(rows)).collect()]
+    expected = [(None, a), (None, b), (7, c), (7, d), (3, f), (9, e), (None, None), (None, " "), (7, "")]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
