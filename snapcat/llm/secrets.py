@@ -153,13 +153,6 @@ class CrfModel:
     weights: np.ndarray
     transitions: np.ndarray
 
-    @staticmethod
-    def silent() -> CrfModel:
-        """A model that tags every word O, for tables without an example to learn from."""
-        w = np.zeros((N_FEATURES + 1, 3), np.float32)
-        w[_AT[1] : _AT[2], 1:] = -50
-        return CrfModel(w, np.zeros((3, 3), np.float32))
-
     def emissions(self, x: np.ndarray) -> np.ndarray:
         e = self.weights[x[0]]
         for row in x[1:]:
@@ -292,10 +285,9 @@ def invent(texts: list[str], rng: np.random.Generator, window: int, many: int =
 
 
 def fit_texts(texts: list[str], window: int = 24, steps: int = 200, l2: float = 5e-5, seed: int = 7) -> CrfModel:
-    """Train on texts labelled by the fixed patterns; see train_crf."""
+    """Train on texts labelled by the fixed patterns, if any match, and on invented windows; see train_crf."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
-    positive = 0
     for lo in range(0, len(texts), 256):
         part = texts[lo : lo + 256]
         data, offsets = tx.string_buffers(pa.array(part, pa.string()))
@@ -317,14 +309,11 @@ def fit_texts(texts: list[str], window: int = 24, steps: int = 200, l2: float =
             picks = [int(rng.integers(a, b))]
             marked = np.flatnonzero(y[a:b]) + a
             picks += [int(k) - window // 2 + int(rng.integers(-4, 5)) for k in marked[:8]]
-            positive += len(marked)
             for k in picks:
                 k = max(a, min(k, b - window))
                 e = min(b, k + window)
                 xs.append(x[:, k:e])
                 ys.append(y[k:e])
-    if not positive:
-        return CrfModel.silent()
     invented = invent(texts, rng, window)
     data, offsets = tx.string_buffers(pa.array([" ".join(w for w, _ in d) for d in invented], pa.string()))
     _, _, first, x = features(data, offsets)
@@ -341,17 +330,50 @@ def fit_texts(texts: list[str], window: int = 24, steps: int = 200, l2: float =
     return _fit(x, y, on, steps, l2)
 
 
+def _piece(text: str, start: int, size: int) -> str:
+    """At most `size` characters of a text, whole words if possible, with what begins at `start`."""
+    if len(text) <= size:
+        return text
+    lo = min(max(0, start - size // 2), len(text) - size)
+    hi = lo + size
+    if lo and (m := re.compile(r"\s", re.ASCII).search(text, lo, start)):
+        lo = m.end()
+    if hi < len(text) and (m := re.compile(r"\s\S*\Z", re.ASCII).search(text, start, hi)):
+        hi = m.start()
+    return text[lo:hi]
+
+
+def labelled_texts(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, t) of all documents with a match of a fixed pattern; of a long one a piece of `size` characters with it."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("t", T.StringType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            texts: list[str] = []
+            for lo, _, data, offsets in tx.blocks(batch.column(1)):
+                for d, spans in _block_spans(data, offsets, None).items():
+                    at.append(lo + d)
+                    texts.append(_piece(data[offsets[d] : offsets[d + 1]].tobytes().decode(), spans[0][1], size))
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(texts, pa.string())], ["id", "t"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(find, schema)
+
+
 def train_crf(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 3000, sample_chars: int = 20_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 3000, sample_chars: int = 20_000, labelled_docs: int = 500
 ) -> CrfModel:
-    """Train on at most `sample_docs` documents of at most `sample_chars` characters (the bounds of the sample).
+    """Train on at most `sample_docs` documents of at most `sample_chars` characters, on at most `labelled_docs` more that
+    have a match of a fixed pattern (found over all rows; of long ones a piece of `sample_chars` characters), and on
+    invented windows.
 
-    The sample is the documents with the smallest id hashes. Without any match of a fixed pattern in it, the model
-    tags nothing.
+    Each sample is the documents with the smallest id hashes.
     """
     small = docs.filter(F.length(text_col) <= sample_chars)
-    rows = bounded_sample(small, id_col, [F.col(text_col).alias("t")], sample_docs)
-    return fit_texts(sorted(r["t"] for r in rows))
+    texts = {r["t"] for r in bounded_sample(small, id_col, [F.col(text_col).alias("t")], sample_docs)}
+    texts |= {r["t"] for r in bounded_sample(labelled_texts(docs, id_col, text_col, sample_chars), "id", ["t"], labelled_docs)}
+    return fit_texts(sorted(texts))
 
 
 # ------------------------------------------------------------------ scanning

@@ -119,6 +119,25 @@ def test_without_examples_nothing_is_tagged(spark, docs):
     assert secrets.train_crf(df.limit(0)).weights.shape[1] == 3
 
 
+def test_field_is_trained_without_a_match(spark, docs):
+    rng = np.random.default_rng(11)
+    value = "".join(rng.choice(list("abcdefghKLMNOP0123456789+/"), 32))
+    text = f'{prose(rng, 30)} credential = "{value}" {prose(rng, 30)}'
+    df = docs([*[prose(rng, 60) for _ in range(200)], text])
+    assert secrets.labelled_texts(df, "doc_id", "text", 20_000).count() == 0
+    found = [r for r in secrets.scan_secrets(df, secrets.train_crf(df)).collect() if r.spans]
+    assert [text[s.start : s.end] for r in found for s in r.spans] == [value]
+
+
+def test_labels_come_from_all_rows(spark, docs):
+    rng = np.random.default_rng(12)
+    long = f"{prose(rng, 9000)} token = {'ab12' * 10} {prose(rng, 9000)}"
+    rows = secrets.labelled_texts(docs([prose(rng, 20), long, None, "", "x" * 30_000 + " " + "ab12" * 10]), "doc_id", "text", 20_000).collect()
+    by = {r.id: r.t for r in rows}
+    assert set(by) == {1, 4} and all(len(t) <= 20_000 and "ab12" * 10 in t for t in by.values())
+    assert by[1] in long and set(by[1].split()) <= set(long.split())
+
+
 def test_query(spark, tmp_path, docs):
     rows = [*training(60), None, ""]
     docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
