@@ -3,7 +3,7 @@
 The field tags every blank-separated word as B (a secret begins), I (inside one) or O (outside) from the word's shape,
 the kinds of its neighbours and features of the file, and decodes by Viterbi. It is trained by maximum likelihood on a
 bounded sample of documents, in which the matches of the fixed patterns are the labels, and on windows of the same texts into
-which invented secrets and look-alikes are put; a share of the training windows has the neighbour features blanked, so
+which invented secrets (of one word and of several) and look-alikes are put; a share of the training windows has the neighbour features blanked, so
 that shape alone carries weight too.
 
 Whole texts are tagged. Words whose emission scores rule out B and I whatever their neighbours are (an exact bound
@@ -284,6 +284,42 @@ def invent(texts: list[str], rng: np.random.Generator, window: int, many: int =
     return out
 
 
+def invent_multi(texts: list[str], rng: np.random.Generator, window: int, many: int = 400) -> list[list[tuple[str, int]]]:
+    """Training windows of (word, state) with invented secrets of several words, the further ones labelled inside.
+
+    Key blocks, values broken by blanks and quoted pass phrases take turns with a contrast: quoted plain words.
+    """
+    pools = [w for w in (t.split()[:400] for t in texts[:: max(1, len(texts) // 200)]) if len(w) > window]
+    if not pools:
+        pools = [["text"] * (window + 1)]
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    draw = lambda alphabet, n: "".join(alphabet[k] for k in rng.integers(0, len(alphabet), n))
+    out = []
+    for i in range(many):
+        words = pick(pools)
+        at = int(rng.integers(0, len(words) - window + 1))
+        n = int(rng.integers(3, 8))
+        plain = words[at + 5 : at + 5 + n]
+        quoted = ['"' + plain[0], *plain[1:-1], plain[-1] + '"']
+        joint = pick((" =", ":", "=", " :"))
+        before, after = [*(pick(_KEYWORDS) + joint).split()], []
+        if i % 4 == 0:
+            kind = pick(("RSA", "EC", "OPENSSH", "DSA"))
+            before, after = ["-----BEGIN", kind, "PRIVATE", "KEY-----"], ["-----END", kind, "PRIVATE", "KEY-----"]
+            value = [*[draw(_ALPHABETS[3], 64) for _ in range(n)], draw(_ALPHABETS[3], int(rng.integers(8, 64)))]
+        elif i % 4 == 1:
+            alphabet, size = pick(_ALPHABETS), int(rng.integers(4, 13))
+            value = [draw(alphabet, size) for _ in range(n)]
+        else:
+            value = quoted
+            if i % 4 == 3:
+                before = [pick(plain)]
+        states = [0] * len(value) if i % 4 == 3 else [1, *[2] * (len(value) - 1)]
+        left, right = words[at : at + 5], words[at + 13 : at + window]
+        out.append([*[(w, 0) for w in (*left, *before)], *zip(value, states, strict=True), *[(w, 0) for w in (*after, *right)]][:window])
+    return out
+
+
 def fit_texts(texts: list[str], window: int = 24, steps: int = 200, l2: float = 5e-5, seed: int = 7) -> CrfModel:
     """Train on texts labelled by the fixed patterns, if any match, and on invented windows; see train_crf."""
     rng = np.random.default_rng(seed)
@@ -314,7 +350,7 @@ def fit_texts(texts: list[str], window: int = 24, steps: int = 200, l2: float =
                 e = min(b, k + window)
                 xs.append(x[:, k:e])
                 ys.append(y[k:e])
-    invented = invent(texts, rng, window)
+    invented = invent(texts, rng, window) + invent_multi(texts, rng, window)
     data, offsets = tx.string_buffers(pa.array([" ".join(w for w, _ in d) for d in invented], pa.string()))
     _, _, first, x = features(data, offsets)
     for d, own in enumerate(invented):
@@ -400,19 +436,26 @@ def _block_spans(data: np.ndarray, offsets: np.ndarray, model: CrfModel | None)
     begin = (states[tagged] == 1) | np.concatenate(([True], (np.diff(tagged) > 1) | (np.diff(doc) > 0)))
     heads = np.flatnonzero(begin)
     tails = np.concatenate((heads[1:], [len(tagged)])) - 1
-    for a, b in zip(heads, tails, strict=True):
+
+    def points(a: int, b: int) -> tuple[int, int]:
+        """Code points of the tagged words a to b, signs around them left off."""
         d, lo, hi = int(doc[a]), int(starts[tagged[a]]), int(ends[tagged[b]])
         while lo < hi and _TRIM[data[lo]]:
             lo += 1
         while hi > lo and _TRIM[data[hi - 1]]:
             hi -= 1
-        if lo == hi:
-            continue
-        points = (data[offsets[d] : hi] & 0xC0) != 0x80
-        lo, hi = int(points[: lo - offsets[d]].sum()), int(points.sum())
-        own = out.setdefault(d, [])
-        if all(hi <= s or e <= lo for _, s, e in own):
-            own.append(("crf", lo, hi))
+        before = (data[offsets[d] : hi] & 0xC0) != 0x80
+        return int(before[: lo - offsets[d]].sum()), int(before.sum())
+
+    for a, b in zip(heads, tails, strict=True):
+        own = out.setdefault(int(doc[a]), [])
+        free = lambda i, j: all(j <= s or e <= i for _, s, e in own)  # noqa: B023, E731
+        # of a secret that meets a pattern's match the other words stay
+        kept = [(a, b)] if free(*points(a, b)) else []
+        for k in range(a, b + 1) if not kept else ():
+            if free(*points(k, k)):
+                kept = [*kept[:-1], (kept[-1][0], k)] if kept and kept[-1][1] == k - 1 else [*kept, (k, k)]
+        own += [("crf", lo, hi) for lo, hi in (points(*p) for p in kept) if lo < hi]
     return {d: sorted(s, key=lambda s: (s[1], KINDS.index(s[0]))) for d, s in out.items() if s}
 
 

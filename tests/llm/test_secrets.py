@@ -138,6 +138,26 @@ def test_labels_come_from_all_rows(spark, docs):
     assert by[1] in long and set(by[1].split()) <= set(long.split())
 
 
+def test_secrets_of_several_words_are_one_span(model):
+    rng = np.random.default_rng(13)
+    lines = ["".join(rng.choice(list("abcdefghKLMNOPqrstuvXYZ0123456789+/"), 64)) for _ in range(5)]
+    text = f"{prose(rng, 20)} -----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + f"\n-----END RSA PRIVATE KEY----- {prose(rng, 20)}"
+    data, offsets = tx.string_buffers(pa.array([text]))
+    found = secrets._block_spans(data, offsets, model)[0]
+    assert [text[a:b] for _, a, b in found] == ["\n".join(lines)]
+
+
+def test_words_beside_a_match_stay_in_a_secret():
+    class Field:
+        def decode(self, x, first):
+            return np.array([0, 0, 0, 0, 1, 2, 2, 0], np.int8)
+
+    text = "é key token = abcd1234 efgh5678 'ijkl9012' é"
+    data, offsets = tx.string_buffers(pa.array([text]))
+    found = secrets._block_spans(data, offsets, Field())[0]
+    assert [(k, text[a:b]) for k, a, b in found] == [("assign", "token = abcd1234"), ("crf", "efgh5678 'ijkl9012")]
+
+
 def test_query(spark, tmp_path, docs):
     rows = [*training(60), None, ""]
     docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
