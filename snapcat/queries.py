@@ -140,6 +140,14 @@ def entropy_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round("bits", 6).alias("bits"), entropy.storage_class(F.col("bits"), 4.3).alias("cls"))
 
 
+@query()
+def entropy_class_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator with the sample and threshold that packing uses (no SQL: a row for each of 65 536 bytes)."""
+    body = F.col("text").cast("binary")
+    d = table(spark, sf_dir, "documents").select("doc_id", entropy.sample_entropy(body, F.octet_length(body)).alias("bits"))
+    return d.select("doc_id", F.round("bits", 6).alias("bits"), entropy.storage_class(F.col("bits")).alias("cls"))
+
+
 @query(f"WITH {RUNS_SQL} SELECT path, CAST(seq AS BIGINT) AS seq FROM run2")
 def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.run2(spark, sf_dir).select("path", "seq")
