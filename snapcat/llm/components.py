@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Each step replaces the edges by ones towards smaller nodes and is a minimum per node (summed up before the
     shuffle) and one join back, so a node with very many edges is no bottleneck. Loops and repeated edges do no harm;
-    edges with a null end are dropped. Every round is cut by a checkpoint. Ends when no edge changes.
+    edges with a null end are dropped. Every round is cut by a checkpoint. Ends when no edge changes;
+    raises if that takes more than `rounds`.
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
@@ -59,4 +60,6 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             e = new
             break
         total, e = tuple(state), new
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
