@@ -1,9 +1,11 @@
 """Threshold-scaled sketches in DataFrame functions only.
 
-A fingerprint keeps every distinct hash of a text's 5-word shingles that falls below a fixed fraction (1 / SCALE) of
-the hash range; a text of fewer than SMALL distinct shingles keeps them all (scale 1). The fraction does not depend on
-the text, so sketches of parts merge by union and containment is estimated without bias between texts of very unequal
-lengths: both sketches are brought to the coarser scale and compared there.
+A fingerprint keeps every distinct hash of a text's 5-word shingles that falls below one fixed fraction (1 / SCALE) of
+the hash range, whatever the text's length, and the text's smallest hash, so that no text with words has an empty one.
+Both rules hold for any set of shingles, so the sketches of parts merge to the sketch of their union, and containment
+is estimated without bias between texts of very unequal lengths: the share of the smaller sketch's hashes below the
+bound that the other one has. Texts of a few shingles have few hashes or only the smallest one, so their estimates are
+coarse.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, SMALL, WIDTH = 8, 64, 5
+SCALE, WIDTH = 4, 5
 #: hashes are signed 64-bit numbers; those below this bound are the lowest 1 / SCALE
 BOUND = -(1 << 63) + (1 << 64) // SCALE
+#: bounds of id ranges: at most FANOUT * FANOUT, taken from a sample of at most SAMPLED keys
+FANOUT, SAMPLED = 64, 1 << 17
 
 
 def words(text: Column) -> Column:
@@ -32,56 +36,87 @@ def shingle_hashes(word_hashes: Column, width: int = WIDTH) -> Column:
     return F.when(n >= width, out).otherwise(short)
 
 
+def _kept(hashes: Column) -> Column:
+    """Of distinct hashes those below the bound and the smallest one, sorted."""
+    least = F.array_min(hashes)
+    return F.array_sort(F.filter(hashes, lambda h: (h < BOUND) | (h == least)))
+
+
 def sketch(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """Add the sketch of a text column: struct of scale and sorted hashes. Null counts as empty; an empty text has none."""
+    """Add the sketch of a text column: its kept hashes, sorted. Null counts as empty; a text without words has none."""
     df = df.withColumn("_w", F.transform(words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.xxhash64(w)))
     df = df.withColumn("_s", F.array_distinct(shingle_hashes(F.col("_w"))))
-    few = F.size("_s") < SMALL
-    kept = F.when(few, F.col("_s")).otherwise(F.filter("_s", lambda h: h < BOUND))
-    return df.withColumn(out_col, F.struct(F.when(few, F.lit(1)).otherwise(F.lit(SCALE)).alias("scale"), F.array_sort(kept).alias("hashes"))).drop("_w", "_s")
-
-
-def at_scale(s: Column, scale: Column) -> Column:
-    """Hashes of a sketch at the given scale (1 or SCALE), which is not finer than its own."""
-    return F.when(s["scale"] < scale, F.filter(s["hashes"], lambda h: h < BOUND)).otherwise(s["hashes"])
+    return df.withColumn(out_col, _kept(F.col("_s"))).drop("_w", "_s")
 
 
 def containment(a: Column, b: Column) -> Column:
     """Estimated share of the smaller text's shingles that the other one has, 0 to 1.
 
-    If one of the sketches is empty at the common scale: 1 for equal sketches, else 0.
+    Hashes below the bound decide. If one of the sketches has none there, its smallest hash stands for it: 1 if both
+    sketches have the same smallest hash, else 0. Two empty sketches are alike.
     """
-    scale = F.greatest(a["scale"], b["scale"])
-    x, y = at_scale(a, scale), at_scale(b, scale)
-    least = F.least(F.size(x), F.size(y))
-    return F.when(a == b, F.lit(1.0)).when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0)).cast("double")
+    low = lambda s: F.filter(s, lambda h: h < BOUND)
+    least = F.least(F.size(low(a)), F.size(low(b)))
+    share = F.size(F.array_intersect(low(a), low(b))) / F.nullif(least, F.lit(0))
+    return F.when(least > 0, share).when(F.array_min(a).eqNullSafe(F.array_min(b)), F.lit(1.0)).otherwise(F.lit(0.0)).cast("double")
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts together (shingles across the seam are not in it)."""
-    scale = F.greatest(a["scale"], b["scale"])
-    return F.struct(scale.alias("scale"), F.array_sort(F.array_union(at_scale(a, scale), at_scale(b, scale))).alias("hashes"))
+    """The sketch of the union of two texts' shingles (those across the seam of a concatenation are not in it)."""
+    return _kept(F.array_union(a, b))
 
 
 def sketch_text(s: Column) -> Column:
     """A sketch as a string: scale, colon, the hashes as 16 hex digits each."""
-    return F.concat(s["scale"].cast("string"), F.lit(":"), F.array_join(F.transform(s["hashes"], lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    return F.concat(F.lit(f"{SCALE}:"), F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+
+
+def _bounds(rows: DataFrame, ranges: int) -> Column:
+    """Sorted keys (struct of _id, _h): `coarse` begin a group of ranges each, `fine` of each group its further ranges.
+
+    The keys are quantiles of a sample: those with the smallest hashes, SAMPLED at most. Any keys give right results;
+    these make the ranges alike in size whatever the ids are.
+    """
+    # nulls go first in structs, as the last in descending order
+    key = F.struct("_id", "_h")
+    sample = rows.select(key.alias("_k"), F.xxhash64(F.lit(17), "_id", "_h").alias("_x")).orderBy("_x", "_k").limit(min(SAMPLED, 64 * ranges))
+    keys = sample.agg(F.sort_array(F.collect_list("_k")).alias("_ks"))
+    fan = min(FANOUT, ranges)
+    groups = -(-ranges // fan)
+    at = lambda i, of: F.get("_ks", F.floor(i * F.size("_ks") / of).cast("int"))
+    known = lambda c: F.filter(c, lambda k: k.isNotNull())
+    coarse = known(F.transform(F.sequence(F.lit(1), F.lit(groups)), lambda g: F.when(g < groups, at(g * fan, groups * fan))))
+    fine = F.transform(
+        F.sequence(F.lit(0), F.lit(groups - 1)),
+        lambda g: known(F.transform(F.sequence(F.lit(1), F.lit(fan)), lambda f: F.when(f < fan, at(g * fan + f, groups * fan)))),
+    )
+    return keys.select(F.struct(coarse.alias("coarse"), fine.alias("fine"))).scalar()
+
+
+def _ranged(rows: DataFrame, ranges: int) -> DataFrame:
+    """Rows (_id, _text, _h) with their range, `_range`."""
+    if ranges == 1:
+        return rows.withColumn("_range", F.lit(0).cast("long"))
+    rows = rows.withColumn("_b", _bounds(rows, ranges))
+    not_above = lambda keys: F.size(F.filter(keys, lambda k: k <= F.struct("_id", "_h")))
+    rows = rows.withColumn("_c", not_above(F.col("_b.coarse"))).withColumn("_f", not_above(F.get("_b.fine", F.col("_c"))))
+    return rows.select("_id", "_text", "_h", (F.col("_c") * min(FANOUT, ranges) + F.col("_f")).cast("long").alias("_range"))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000) -> DataFrame:
     """(_id, _text, _sketch, _next_text, _next_sketch): each text beside the next in descending order of id.
 
-    After the last row comes the first. Rows with equal ids go by a hash of the text; null ids come last. Texts are
-    shuffled once: ids are cut into equal ranges, each range gets a copy of the row that follows it, and the order
-    is taken within ranges only.
+    After the last row comes the first. Rows with equal ids go by a hash of the text; null ids come last. Ids may be
+    of any type that has an order, however they are spread. Texts are shuffled once: keys (id, hash) are cut into
+    ranges at sampled quantiles, each range gets a copy of the row that follows it, and the order is taken within
+    ranges only. Repeated rows (same id, same text) share a range. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("_id").cast("double"), F.max("_id").cast("double")).first()
+    rows = rows.withColumn("_h", F.xxhash64("_text"))
+    n = rows.count()
     # as many ranges as shuffle partitions, more where they would pass `most_rows` rows, fewer for small tables
-    ranges = max(1, n // most_rows, min(n // 500, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    low, width = low or 0.0, max(1.0, (high or 0.0) - (low or 0.0) + 1)
-    part = F.least(F.floor((F.col("_id").cast("double") - low) / F.lit(width) * ranges), F.lit(ranges - 1))
-    rows = rows.select("_id", "_text", F.xxhash64("_text").alias("_h"), F.coalesce(part, F.lit(0)).cast("long").alias("_range"))
+    ranges = min(FANOUT * FANOUT, max(1, n // most_rows, min(n // 500, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    rows = _ranged(rows, ranges)
     tops = rows.groupBy("_range").agg(F.max(F.struct("_id", "_h")).alias("_top"))
     by_range = Window.orderBy("_range")  # one row per range
     heirs = tops.select(
