@@ -38,8 +38,8 @@ def shingle_hashes(word_hashes: Column, width: int = WIDTH) -> Column:
 
 def _kept(hashes: Column) -> Column:
     """Of distinct hashes those below the bound and the smallest one, sorted."""
-    least = F.array_min(hashes)
-    return F.array_sort(F.filter(hashes, lambda h: (h < BOUND) | (h == least)))
+    low = F.filter(hashes, lambda h: h < BOUND)
+    return F.when(F.size(low) > 0, F.array_sort(low)).otherwise(F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull()))
 
 
 def sketch(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
