@@ -149,7 +149,7 @@ _CLOSURE_SQL = """, reach AS (
 
 ORACLES |= {
     "op2_chat_format": r"""
-        WITH c AS (
+        WITH RECURSIVE c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
         ), e AS (
@@ -158,15 +158,20 @@ ORACLES |= {
                     '[INST]', '[' || chr(92) || 'INST]'), '[/INST]', '[' || chr(92) || '/INST]'), '<s>', '<' || chr(92) || 's>'), '</s>', '<' || chr(92) || '/s>')))) + 17 AS width
             FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
         ), p AS (
-            SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS fin FROM e
+            SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) - n AS start, first_value(CASE WHEN role = 'system' THEN n ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS system FROM e
         ), q AS (
-            SELECT *, (fin - 1) // 256 AS span FROM p
+            SELECT *, greatest(384 - system, 1) AS cap, start // greatest(16 * greatest(384 - system, 1), 129) AS block FROM p
+        ), g AS (
+            SELECT conv_id, i, block, i AS i0, n AS used FROM q WHERE i = 1
+            UNION ALL
+            SELECT q.conv_id, q.i, q.block, CASE WHEN q.block <> g.block OR g.used + q.n > q.cap THEN q.i ELSE g.i0 END, CASE WHEN q.block <> g.block OR g.used + q.n > q.cap THEN q.n ELSE g.used + q.n END
+            FROM g JOIN q ON q.conv_id IS NOT DISTINCT FROM g.conv_id AND q.i = g.i + 1
         ), f AS (
-            SELECT conv_id, span, min(i) AS i0, min(fin - n) AS start, row_number() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS win FROM q GROUP BY conv_id, span
+            SELECT conv_id, i0, max(i) AS i1, max(used) AS used FROM g GROUP BY conv_id, i0
         ), o AS (
-            SELECT f.conv_id, f.span, sum(CASE WHEN q.span = f.span OR (q.i < f.i0 AND f.start - (q.fin - q.n) <= 128 AND NOT (q.i = 1 AND q.role = 'system'))
-                OR (f.win > 0 AND q.i = 1 AND q.role = 'system') THEN q.width ELSE 0 END) AS chars
-            FROM f JOIN q ON q.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY f.conv_id, f.span
+            SELECT f.conv_id, f.i0, sum(q.width) AS chars FROM f JOIN q x ON x.conv_id IS NOT DISTINCT FROM f.conv_id AND x.i = f.i0 JOIN q ON q.conv_id IS NOT DISTINCT FROM f.conv_id
+                AND (q.i BETWEEN f.i0 AND f.i1 OR (q.i < f.i0 AND CASE WHEN q.i = 1 AND q.role = 'system' THEN true ELSE x.start - q.start <= least(128, 512 - x.system - f.used) END))
+            GROUP BY f.conv_id, f.i0
         ), s AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id)
         SELECT e.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
