@@ -9,8 +9,9 @@ from . import chat, components, fingerprint, jaccard, langid, mixing, neardup, p
 
 #: fixed values: the rules of the URL query
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: canonical URLs listed besides the rules
-LISTED_URLS = ("http://listed.invalid/",)
+#: the query's list: one URL, and every URL that the pages name on a host with one of these names
+LISTED_URL = "http://listed.invalid/"
+LISTED_HOSTS = r"(^|\.)(spam-farm|casino-win|cheap-pills|free-bets|adult-x|ads-track)\."
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,9 +91,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.range(1).select(F.explode(F.array(*[F.lit(u) for u in LISTED_URLS])).alias("url"))
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select("url").filter(F.rlike(urls.url_host(F.col("url")), F.lit(LISTED_HOSTS))).union(spark.range(1).select(F.lit(LISTED_URL)))
     keys = urls.rule_keys(spark, URL_RULES).union(urls.url_keys(listed))
-    return urls.filter_urls(table(spark, sf_dir, "pages"), keys)
+    return urls.filter_urls(pages, keys)
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_embedding_neardup, op4_language_id, op5_jaccard_join, op6_fingerprint, op7_mix_sources, op8_suffix_dedup, op9_best_fit_packing, op10_url_filter)}
@@ -128,16 +130,17 @@ ORACLES: dict[str, str] = {
             SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
             FROM pages
+        ), c AS (
+            SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), ':[0-9]*$', '') || regexp_replace(path, '/+$', '') AS form FROM p
+        ), listed AS (SELECT DISTINCT form FROM c WHERE regexp_matches(host, '{LISTED_HOSTS}') UNION SELECT 'listed.invalid'
         ), r AS (SELECT * FROM (VALUES {_RULES_SQL}) AS v(h, p, v)
         ), b AS (
             SELECT host, path, max(struct_pack(n := length(r.h || r.p), m := length(r.h), h := r.h, p := r.p, v := r.v)) AS best
             FROM (SELECT DISTINCT host, path FROM p) q JOIN r ON (q.host = r.h OR ends_with(q.host, '.' || r.h)) AND starts_with(q.path, r.p)
             GROUP BY host, path
         )
-        SELECT page_id, p.host, p.path, best.h || best.p AS rule,
-            CASE WHEN best IS NOT NULL THEN best.v
-                WHEN regexp_replace(regexp_replace(p.host, '^www\.', ''), ':[0-9]*$', '') || regexp_replace(p.path, '/+$', '') = 'listed.invalid' THEN 'block' ELSE 'allow' END AS verdict
-        FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path
+        SELECT page_id, c.host, c.path, best.h || best.p AS rule, CASE WHEN best IS NOT NULL THEN best.v WHEN listed.form IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+        FROM c LEFT JOIN b ON c.host = b.host AND c.path = b.path LEFT JOIN listed ON listed.form = c.form AND c.host <> ''
     """,
 }
 

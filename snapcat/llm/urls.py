@@ -1,8 +1,8 @@
 """URL filters in DataFrame functions only: a blocked Bloom filter, then an exact hash join.
 
-Listed keys are rules (host, path prefix, verdict) and whole canonical URLs. Every key a URL could match (each parent
-domain of its host with each listed path length, and its own canonical form) is probed against a Bloom filter whose
-bits for one key lie in one 64-bit block, so a probe reads one block. The few keys that pass are joined with the list
+Listed keys are rules (host, path prefix, verdict) and whole canonical URLs. Every key a URL could match (the last labels
+of its host, as many as some rule's host has, with each listed path length, and its own canonical form) is probed
+against a Bloom filter whose bits for one key lie in one 64-bit block, so a probe reads one block. The few keys that pass are joined with the list
 itself, which removes the false positives; the longest rule decides, then the listing, else the URL is allowed.
 """
 
@@ -70,8 +70,10 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     return keys.select(_block(h, blocks).alias("block"), _mask(h).alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("bits"))
 
 
-def _prefixed(n: int):
-    return lambda suffix: F.concat(F.lit("rule "), suffix, F.lit(" "), F.substring("path", 1, n))
+def _rule_probe(labels: int, n: int) -> Column:
+    """Key of a rule for the last `labels` labels of the host and `n` characters of the path; null if the host has fewer."""
+    has = F.length("host") - F.length(F.replace("host", F.lit("."))) + 1 >= labels
+    return F.when(has, F.concat(F.lit("rule "), F.substring_index("host", ".", -labels), F.lit(" "), F.substring("path", 1, n)))
 
 
 def filter_urls(
@@ -84,19 +86,19 @@ def filter_urls(
     point order. Without a rule the verdict is block for a listed canonical URL and allow for any other. Null URLs and those without `://` have an empty host and path and are
     allowed. Repeated and null ids keep a row each; other columns are ignored; empty tables give an empty one.
 
-    The filter has a block for every 4 keys, at most MOST_BLOCKS, and is broadcast at that proven size. Probing is
-    done on distinct (host, path), so a very common URL is probed once.
+    The filter has a block for every 4 keys, at most MOST_BLOCKS, and is broadcast at that proven size; beyond that it
+    lets more keys through to the join, and results stay exact. Probing is done on distinct (host, path), so a very
+    common URL is probed once. A URL makes as many probes as there are pairs of a rule's label count and path length,
+    and one more, however long its host and path are.
     """
     if blocks is None:
         blocks = min(MOST_BLOCKS, max(64, keys.count() // 4))
-    lengths = sorted(r[0] for r in keys.filter("kind = 'rule'").select(F.length("path")).distinct().collect())
+    labels = F.length("host") - F.length(F.replace("host", F.lit("."))) + 1
+    shapes = sorted((r[0], r[1]) for r in keys.filter("kind = 'rule'").select(labels, F.length("path")).distinct().collect())
     rows = pages.select(F.col(id_col).alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     forms = rows.select("host", "path").distinct().filter("host <> ''")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefix = [F.transform(suffixes, _prefixed(n)) for n in lengths]
-    own = F.array(F.concat(F.lit("url "), canonical(F.col("host"), F.col("path"))))
-    probes = forms.select("host", "path", F.explode(F.array_distinct(F.concat(own, *prefix))).alias("key"))
+    own = F.concat(F.lit("url "), canonical(F.col("host"), F.col("path")))
+    probes = forms.select("host", "path", F.explode(F.array_distinct(F.array_compact(F.array(own, *[_rule_probe(*x) for x in shapes])))).alias("key"))
     h = _hash(F.col("key"))
     probes = probes.select("*", _block(h, blocks).alias("block"), _mask(h).alias("mask"))
     passed = probes.join(F.broadcast(bloom_blocks(keys, blocks)), "block").filter(F.col("mask").bitwiseAND(F.col("bits")) == F.col("mask"))

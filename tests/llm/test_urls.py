@@ -49,6 +49,12 @@ def test_filter_has_no_false_negative_and_few_positives(spark):
     assert hit.filter("id >= 2000").count() < 200
 
 
+def test_very_long_hosts(spark):
+    """A host of 1 MB and one of 200 000 labels; rules of several label counts."""
+    values = ["http://" + "x" * 1_000_000 + ".example.org/es/1", "http://" + "a." * 200_000 + "com/de/x", "http://" + "a." * 200_000 + "listed.net/a", "http://." * 3 + "org/"]
+    assert run(spark, values) == {i: brute(u, {"listed.net/a"}) for i, u in enumerate(values)}
+
+
 def test_no_rules(spark):
     df = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     assert tuple(urls.filter_urls(df, urls.rule_keys(spark, [])).first()) == (1, "a.org", "/x", None, "allow")
@@ -59,3 +65,11 @@ def test_query_is_native(spark, tmp_path):
     df = queries.op10_url_filter(spark, str(tmp_path))
     assert not re.search("EvalPython|InPandas|InArrow|ExistingRDD", df._jdf.queryExecution().executedPlan().toString())
     assert df.count() == len(URLS)
+
+
+def test_query_blocks_what_only_the_list_names(spark, tmp_path):
+    """The rules are silent on these: the verdict comes through the filter and the join."""
+    values = ["http://www.spam-farm.example.net/en/1/?x", "http://spam-farm.example.net/en/1", "http://good.example.net/en/1", "http://my-spam-farm.example.net/", "http://listed.invalid", "http://spam-farm.example.org/en/3"]
+    spark.createDataFrame(list(enumerate(values)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op10_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {0: (None, "block"), 1: (None, "block"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "block"), 5: ("org/", "allow")}
