@@ -3,7 +3,7 @@
 The field tags every blank-separated word as B (a secret begins), I (inside one) or O (outside) from the word's shape,
 the kinds of its neighbours and features of the file, and decodes by Viterbi. It is trained by maximum likelihood on a
 bounded sample of documents, in which the matches of the fixed patterns are the labels, and on windows of the same texts into
-which invented secrets (of one word and of several) and look-alikes are put; a share of the training windows has the neighbour features blanked, so
+which invented secrets (of one word, of several, and one after the other) and look-alikes are put; a share of the training windows has the neighbour features blanked, so
 that shape alone carries weight too.
 
 Whole texts are tagged. Words whose emission scores rule out B and I whatever their neighbours are (an exact bound
@@ -13,6 +13,7 @@ from the transition scores) split the chain, so Viterbi runs on the short stretc
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,7 +87,7 @@ _KEY_LENGTH = max(len(k) for k in _KEYWORDS) + 3
 
 EDGE, PLAIN, KEY, SIGN, ENDS_SIGN, DIGITS, MIXED = range(7)
 _N_KINDS, _N_SHAPES, _N_FILES = 7, 6 * 4 * 2 * 2 * 3, 8
-_SIZES = (_N_SHAPES, _N_KINDS, _N_KINDS, _N_KINDS, _N_KINDS, _N_FILES, _N_SHAPES * _N_KINDS)
+_SIZES = (_N_SHAPES, _N_KINDS, _N_KINDS, _N_KINDS, _N_KINDS, _N_FILES, _N_SHAPES * _N_KINDS, 2)
 _AT = np.concatenate(([0], np.cumsum(_SIZES)))
 N_FEATURES = int(_AT[-1])
 _CONTEXT = (2, 3, 4, 6)
@@ -112,7 +113,8 @@ def features(data: np.ndarray, offsets: np.ndarray):
     shape = shape * 4 + np.where(digit == 0, 0, np.where(digit * 10 < size * 3, 1, np.where(digit * 10 < size * 7, 2, 3)))
     shape = ((shape * 2 + (upper > 1)) * 2 + (lower > 0)) * 3 + np.minimum((other + 1) // 2, 2)
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
-    sign = (last == 0x3D) | (last == 0x3A)
+    # a long word with digits that ends so is a padded value, not the name of a key
+    sign = ((last == 0x3D) | (last == 0x3A)) & ~((size >= 16) & (digit > 0))
     kind = np.where(digit > 0, DIGITS, np.where(other > 2, MIXED, PLAIN))
     kind[sign] = ENDS_SIGN
     kind[sign & (size == 1)] = SIGN
@@ -132,13 +134,18 @@ def features(data: np.ndarray, offsets: np.ndarray):
     second = heads + 1
     second = second[second < n]
     before2[second] = EDGE
+    # whether a word looks like the one before: length, first and last byte; a word said again is no secret
+    again = np.zeros(n, bool)
+    if n:
+        again[1:] = (size[1:] == size[:-1]) & (data[starts[1:]] == data[starts[:-1]]) & (last[1:] == last[:-1])
+        again[heads] = False
     n_docs = len(offsets) - 1
     words = np.maximum(np.diff(first), 1)
     odd = np.bincount(doc, weights=(kind >= DIGITS), minlength=n_docs) / words
     signs = np.bincount(doc, weights=(kind == SIGN) | (kind == ENDS_SIGN), minlength=n_docs) / words
     file = np.searchsorted(np.array([0.02, 0.1, 0.4]), odd, "right") * 2 + (signs > 0.05)
     x = np.empty((len(_SIZES), n), np.int32)
-    for k, v in enumerate((shape, kind, before, before2, after, file[doc], shape * _N_KINDS + before)):
+    for k, v in enumerate((shape, kind, before, before2, after, file[doc], shape * _N_KINDS + before, again)):
         x[k] = v + _AT[k]
     return starts, ends, first, x
 
@@ -270,14 +277,17 @@ def invent(texts: list[str], rng: np.random.Generator, window: int, many: int =
             joint, quote = pick(_JOINTS)
             value = pick(_PREFIXES) + draw(pick(_ALPHABETS), int(rng.integers(16, 64)))
             glued = joint in ("=", ":") and rng.random() < 0.4
-            middle = [(key + joint, 0)] if glued else [(key, 0), *([(joint, 0)] if joint else [])]
-            middle.append((quote + value + quote, 1))
+            if glued and rng.random() < 0.5:  # one word
+                middle = [(key + joint + quote + value + quote, 1)]
+            else:
+                middle = [(key + joint, 0)] if glued else [(key, 0), *([(joint, 0)] if joint else [])]
+                middle.append((quote + value + quote, 1))
         elif kind == 3:  # plain words after the name of a key
             middle = [(key + str(pick(("", ":", "="))), 0), *[(w, 0) for w in pick(pools)[:3]]]
         else:
             other = pick((
-                f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", digits(16), f"{digits(3)}.{digits(2)}.{digits(3)}.{digits(1)}", f"{pick(pools)[0]}.{digits(2)}@mail.example", f"https://{pick(pools)[0]}.example.com/{digits(5)}.html",
-                "=" * int(rng.integers(3, 40)), f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}", pick(pools)[0] * int(rng.integers(1, 6)), f"id={digits(7)}", f"<{pick(pools)[0]}>%%%",
+                f"+1 ({digits(3)}) {digits(3)}-{digits(4)}" + pick(("", "", "%%%", "***")), digits(16), f"{digits(3)}.{digits(2)}.{digits(3)}.{digits(1)}", f"{pick(pools)[0]}.{digits(2)}@mail.example", f"https://{pick(pools)[0]}.example.com/{digits(5)}.html",
+                "=" * int(rng.integers(3, 40)), f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}" + pick(("", f":{digits(2)}", f":{digits(2)}Z", f":{digits(2)}.{digits(3)}Z")), pick(pools)[0] * int(rng.integers(1, 6)), f"id={digits(7)}", f"<{pick(pools)[0]}>%%%",
             ))
             middle = [(w, 0) for w in str(other).split()]
         out.append([*[(w, 0) for w in left], *middle, *[(w, 0) for w in right]][:window])
@@ -287,7 +297,8 @@ def invent(texts: list[str], rng: np.random.Generator, window: int, many: int =
 def invent_multi(texts: list[str], rng: np.random.Generator, window: int, many: int = 400) -> list[list[tuple[str, int]]]:
     """Training windows of (word, state) with invented secrets of several words, the further ones labelled inside.
 
-    Key blocks, values broken by blanks and quoted pass phrases take turns with a contrast: quoted plain words.
+    Key blocks and values broken by blanks take turns with a contrast: quoted plain words. Pass phrases of plain words
+    look like any quotation, so they are not taught.
     """
     pools = [w for w in (t.split()[:400] for t in texts[:: max(1, len(texts) // 200)]) if len(w) > window]
     if not pools:
@@ -303,24 +314,49 @@ def invent_multi(texts: list[str], rng: np.random.Generator, window: int, many:
         quoted = ['"' + plain[0], *plain[1:-1], plain[-1] + '"']
         joint = pick((" =", ":", "=", " :"))
         before, after = [*(pick(_KEYWORDS) + joint).split()], []
-        if i % 4 == 0:
+        if i % 3 == 0:
             kind = pick(("RSA", "EC", "OPENSSH", "DSA"))
             before, after = ["-----BEGIN", kind, "PRIVATE", "KEY-----"], ["-----END", kind, "PRIVATE", "KEY-----"]
             value = [*[draw(_ALPHABETS[3], 64) for _ in range(n)], draw(_ALPHABETS[3], int(rng.integers(8, 64)))]
-        elif i % 4 == 1:
+        elif i % 3 == 1:
             alphabet, size = pick(_ALPHABETS), int(rng.integers(4, 13))
             value = [draw(alphabet, size) for _ in range(n)]
         else:
-            value = quoted
-            if i % 4 == 3:
-                before = [pick(plain)]
-        states = [0] * len(value) if i % 4 == 3 else [1, *[2] * (len(value) - 1)]
+            before, value = [pick(plain)], quoted
+        states = [0] * len(value) if i % 3 == 2 else [1, *[2] * (len(value) - 1)]
         left, right = words[at : at + 5], words[at + 13 : at + window]
         out.append([*[(w, 0) for w in (*left, *before)], *zip(value, states, strict=True), *[(w, 0) for w in (*after, *right)]][:window])
     return out
 
 
-def fit_texts(texts: list[str], window: int = 24, steps: int = 200, l2: float = 5e-5, seed: int = 7) -> CrfModel:
+def invent_dense(texts: list[str], rng: np.random.Generator, window: int, many: int = 240) -> list[list[tuple[str, int]]]:
+    """Training windows of (word, state) like files full of secrets (keys with values, one after the other), and, in turn
+    with them, like files full of numbers, dates and paths."""
+    pools = [w for w in (t.split()[:400] for t in texts[:: max(1, len(texts) // 200)]) if len(w) > window]
+    if not pools:
+        pools = [["text"] * (window + 1)]
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    draw = lambda alphabet, n: "".join(alphabet[k] for k in rng.integers(0, len(alphabet), n))
+    digits = lambda n: draw("0123456789", n)
+    out = []
+    for i in range(many):
+        words: list[tuple[str, int]] = []
+        if i % 4 == 0:
+            again = str(pick(pick(pools))).strip(".,:;=\"'") + pick((".", ",", "", ";", "!"))
+            words = [(again, 0)] * (window if i % 8 else window // 2)
+        while len(words) < window:
+            if i % 2:
+                joint, quote = pick(_JOINTS)
+                words += [(pick(_KEYWORDS), 0), *([(joint, 0)] if joint else []), (quote + draw(pick(_ALPHABETS), int(rng.integers(16, 64))) + quote, 1)]
+            else:
+                other = pick((digits(5), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}Z", f"/{pick(pools)[0]}/{digits(4)}.html", f"+{digits(2)} {digits(3)} {digits(4)}"))
+                words += [(w, 0) for w in other.split()]
+            words += [(w, 0) for w in pick(pools)[: int(rng.integers(0, 8))]]
+        out.append(words[:window])
+    return out
+
+
+def fit_texts(texts: list[str], window: int = 24, steps: int = 200, l2: float = 2e-5, seed: int = 7) -> CrfModel:
     """Train on texts labelled by the fixed patterns, if any match, and on invented windows; see train_crf."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
@@ -350,7 +386,7 @@ def fit_texts(texts: list[str], window: int = 24, steps: int = 200, l2: float =
                 e = min(b, k + window)
                 xs.append(x[:, k:e])
                 ys.append(y[k:e])
-    invented = invent(texts, rng, window) + invent_multi(texts, rng, window)
+    invented = invent(texts, rng, window) + invent_multi(texts, rng, window) + invent_dense(texts, rng, window)
     data, offsets = tx.string_buffers(pa.array([" ".join(w for w, _ in d) for d in invented], pa.string()))
     _, _, first, x = features(data, offsets)
     for d, own in enumerate(invented):
@@ -404,11 +440,11 @@ def train_crf(
     have a match of a fixed pattern (found over all rows; of long ones a piece of `sample_chars` characters), and on
     invented windows.
 
-    Each sample is the documents with the smallest id hashes.
+    Each sample is the documents with the smallest hashes of id and text.
     """
     small = docs.filter(F.length(text_col) <= sample_chars)
-    texts = {r["t"] for r in bounded_sample(small, id_col, [F.col(text_col).alias("t")], sample_docs)}
-    texts |= {r["t"] for r in bounded_sample(labelled_texts(docs, id_col, text_col, sample_chars), "id", ["t"], labelled_docs)}
+    texts = {r["t"] for r in bounded_sample(small, [id_col, text_col], [F.col(text_col).alias("t")], sample_docs)}
+    texts |= {r["t"] for r in bounded_sample(labelled_texts(docs, id_col, text_col, sample_chars), ["id", "t"], ["t"], labelled_docs)}
     return fit_texts(sorted(texts))
 
 
@@ -418,6 +454,25 @@ _TRIM = np.zeros(256, bool)
 _TRIM[list(b"\"'`,;:=()[]{}<>")] = True
 
 
+class _Busy:
+    """The union of the pattern matches of one document."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, lo: int, hi: int) -> bool:
+        """Whether [lo, hi) meets none of them."""
+        k = bisect_right(self.ends, lo)
+        return k == len(self.starts) or hi <= self.starts[k]
+
+
 def _block_spans(data: np.ndarray, offsets: np.ndarray, model: CrfModel | None) -> dict[int, list[tuple[str, int, int]]]:
     """Spans by document (only those that have any), in code points."""
     out: dict[int, list[tuple[str, int, int]]] = {}
@@ -437,6 +492,8 @@ def _block_spans(data: np.ndarray, offsets: np.ndarray, model: CrfModel | None)
     heads = np.flatnonzero(begin)
     tails = np.concatenate((heads[1:], [len(tagged)])) - 1
 
+    points_before: dict[int, np.ndarray] = {}  # code points before each byte, of the document at hand only
+
     def points(a: int, b: int) -> tuple[int, int]:
         """Code points of the tagged words a to b, signs around them left off."""
         d, lo, hi = int(doc[a]), int(starts[tagged[a]]), int(ends[tagged[b]])
@@ -444,17 +501,24 @@ def _block_spans(data: np.ndarray, offsets: np.ndarray, model: CrfModel | None)
             lo += 1
         while hi > lo and _TRIM[data[hi - 1]]:
             hi -= 1
-        before = (data[offsets[d] : hi] & 0xC0) != 0x80
-        return int(before[: lo - offsets[d]].sum()), int(before.sum())
+        if d not in points_before:
+            points_before.clear()
+            points_before[d] = np.concatenate(([0], np.cumsum((data[offsets[d] : offsets[d + 1]] & 0xC0) != 0x80, dtype=np.int64)))
+        return int(points_before[d][lo - offsets[d]]), int(points_before[d][hi - offsets[d]])
 
+    at, busy = -1, _Busy([])
     for a, b in zip(heads, tails, strict=True):
         own = out.setdefault(int(doc[a]), [])
-        free = lambda i, j: all(j <= s or e <= i for _, s, e in own)  # noqa: B023, E731
+        if doc[a] != at:
+            at, busy = doc[a], _Busy([(s, e) for _, s, e in own])
         # of a secret that meets a pattern's match the other words stay
-        kept = [(a, b)] if free(*points(a, b)) else []
+        kept = [(a, b)] if busy.free(*points(a, b)) else []
         for k in range(a, b + 1) if not kept else ():
-            if free(*points(k, k)):
-                kept = [*kept[:-1], (kept[-1][0], k)] if kept and kept[-1][1] == k - 1 else [*kept, (k, k)]
+            if busy.free(*points(k, k)):
+                if kept and kept[-1][1] == k - 1:
+                    kept[-1] = (kept[-1][0], k)
+                else:
+                    kept.append((k, k))
         own += [("crf", lo, hi) for lo, hi in (points(*p) for p in kept) if lo < hi]
     return {d: sorted(s, key=lambda s: (s[1], KINDS.index(s[0]))) for d, s in out.items() if s}
 
@@ -462,7 +526,8 @@ def _block_spans(data: np.ndarray, offsets: np.ndarray, model: CrfModel | None)
 def scan_secrets(docs: DataFrame, model: CrfModel | None, text_col: str = "text", out_col: str = "spans") -> DataFrame:
     """Add `out_col`, the secret spans of each whole text: array of (kind, start, end) in code points, end exclusive.
 
-    Sorted by start, then kind (assign, access, hex, crf). A null or empty text has none. The field's spans ("crf")
+    Sorted by start, then kind (assign, access, hex, crf). A null or empty text has none; a very long one is scanned
+    whole, in time that is linear in its length and its spans. The field's spans ("crf")
     never overlap one of a fixed pattern. Other columns pass through, whatever their names and nulls; repeated rows
     are scanned each for itself; an empty table gives an empty one. model None: fixed patterns only.
     """
