@@ -2,7 +2,7 @@
 
 Features are the 1- to 3-grams of the lower-cased text (characters that are not letters read as one blank, which also
 stands before and after the text), hashed into a table of fixed size. A feature's value is its share of the text's
-n-grams times its inverse document frequency in the training sample. The weights are learned by follow the proximally
+n-grams times its inverse document frequency over all training documents. The weights are learned by follow the proximally
 regularised leader (FTRL) with elastic-net penalties, so most stay exactly zero; a temperature fitted on a part of the
 sample that training leaves out calibrates the probabilities.
 
@@ -17,16 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .sampling import bounded_sample
 
 BITS = 18
 BLOCK_CHARS = 1 << 20
 UNKNOWN = "und"
+#: languages that can be learned: those with the most training documents
+MOST_LANGUAGES = 256
 _ORDERS = (1, 2, 3)
 
 
@@ -54,20 +55,21 @@ def _fold(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def _decode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points of all texts, each framed by blanks, and where each text starts (one more at the end)."""
-    joined = "\0" + "\0".join(texts) + "\0"
+def _decode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded code points of all texts, each framed by blanks of its own, and where each text's n-grams start and end."""
+    joined = "".join(f"\0{t}\0" for t in texts) + "\0"
     points = _fold(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    return points, np.concatenate(([0], np.cumsum(sizes)))
+    ends = np.cumsum(np.array([len(t) + 2 for t in texts], np.int64))
+    return points, np.concatenate(([0], ends[:-1])).astype(np.int64), ends - 1
 
 
-def ngrams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Feature numbers for each order, one for each position, the start of each text and its number of letters.
+def ngrams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers for each order, one for each position, where each text's own start and end, and its letters.
 
-    The n-grams of order n that start at a text's positions are its own, the blank before it included.
+    The n-grams of order n that start at a text's characters or at the blank before are its own; they reach no further
+    than the blanks behind it, so they depend on the text alone.
     """
-    points, starts = _decode(texts)
+    points, starts, ends = _decode(texts)
     mask = np.uint32((1 << BITS) - 1)
     out, h = [], np.zeros(len(points), np.uint32)
     for n in range(max(_ORDERS)):
@@ -78,7 +80,7 @@ def ngrams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
             mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
             out.append(((mixed ^ (mixed >> np.uint32(13))) & mask).astype(np.int32))
     letters = np.concatenate(([0], np.cumsum(points != 0)))
-    return out, starts, letters[starts[1:]] - letters[starts[:-1]]
+    return out, starts, ends, letters[ends] - letters[starts]
 
 
 @dataclass
@@ -92,12 +94,13 @@ class LangModel:
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages, letters of each text)."""
-        grams, starts, letters = ngrams(texts)
+        grams, starts, ends, letters = ngrams(texts)
         total = np.zeros((len(texts), len(self.languages)))
+        edges = np.stack([starts, ends], axis=1).ravel()
         for g in grams:
             for k in range(len(self.languages)):
-                total[:, k] += np.add.reduceat(self.table[k][g[:-1]], starts[:-1])
-        return total / np.maximum(1, np.diff(starts) * len(grams))[:, None] + self.bias, letters
+                total[:, k] += np.add.reduceat(self.table[k][g], edges)[::2]
+        return total / ((ends - starts) * len(grams))[:, None] + self.bias, letters
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and probability of each text; `und` with score 0 without a letter or without a model."""
@@ -114,21 +117,25 @@ class LangModel:
 
 
 def fit(
-    texts: list[str], langs: list[str], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3, seed: int = 5
+    texts: list[str], langs: list[str], frequencies: tuple[int, np.ndarray] | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3, seed: int = 5
 ) -> LangModel:
-    """Fit on labelled texts; every fifth text is left out of training and sets the temperature."""
+    """Fit on labelled texts; every fifth text is left out of training and sets the temperature.
+
+    frequencies: number of documents and document frequencies of all features, else those of the texts themselves.
+    """
     languages = sorted(set(langs))
     if not languages:
         return LangModel([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), 1.0)
     docs = []
     df = np.zeros(1 << BITS)
     for t in texts:
-        grams, _, _ = ngrams([t])
-        f, c = np.unique(np.concatenate([g[:-1] for g in grams]), return_counts=True)
+        grams, _, ends, _ = ngrams([t])
+        f, c = np.unique(np.concatenate([g[: ends[0]] for g in grams]), return_counts=True)
         docs.append((f, c / c.sum()))
         df[f] += 1
     n, k = len(texts), len(languages)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    all_docs, df = frequencies or (n, df)
+    idf = np.log((1 + all_docs) / (1 + df)) + 1
     y = np.array([languages.index(x) for x in langs])
     held = np.arange(n) % 5 == 4 if n >= 20 else np.zeros(n, bool)
     z, sq = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
@@ -183,19 +190,62 @@ def held_out(doc_id: str) -> bool:
     return zlib.crc32(doc_id.encode()) % 4 == 2
 
 
+def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
+    """(number of texts that are not null, number of texts that have each feature), over all rows and whole texts.
+
+    A task adds up its texts in one table of fixed size and returns at most a row for each feature.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df, flags = 0, np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool)
+        for batch in batches:
+            for lo, hi, _, _ in tx.blocks(batch.column(0), BLOCK_CHARS):
+                texts = [t for t in batch.column(0).slice(lo, hi - lo).to_pylist() if t is not None]
+                n += len(texts)
+                if not texts:
+                    continue
+                grams, starts, ends, _ = ngrams(texts)
+                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                    for g in grams:
+                        flags[g[a:b]] = True
+                    own = np.flatnonzero(flags)
+                    df[own] += 1
+                    flags[own] = False
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], found))), pa.array(np.concatenate(([n], df[found])))], ["f", "n"])
+
+    made = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(1 << BITS)
+    f, n = made["f"].to_numpy(np.int64), made["n"].to_numpy(np.int64)
+    df[f[f >= 0]] = n[f >= 0]
+    return int(n[f < 0].sum()), df
+
+
 def train_langid(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000, sample_chars: int = 20_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1000, sample_chars: int = 20_000
 ) -> LangModel:
-    """Train on at most `sample_docs` labelled documents of at most `sample_chars` characters that are not held out.
+    """Train on at most `docs_per_language` documents of each language that are labelled and not held out (those with the
+    smallest hashes of id, label and text), on the first `sample_chars` characters of each.
 
-    The bounds hold for training only; predictions read whole texts of any length. Languages that the sample lacks
-    are not learned.
+    The bounds hold for training only; document frequencies come from all training documents and whole texts, and
+    predictions read whole texts of any length. At most MOST_LANGUAGES languages are learned, those with the most
+    documents, however few. Null texts and texts without a letter teach nothing; a row with a null id is not held out;
+    repeated rows count each in the frequencies. Without training documents nothing is learned.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2) & (F.length(text_col) <= sample_chars))
-    rows = bounded_sample(rows, id_col, [F.col(text_col).alias("t"), F.col(lang_col).alias("l")], sample_docs)
-    pairs = sorted((r["t"], r["l"]) for r in rows if any(c.isalpha() for c in r["t"]))
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held)
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()}
+    if not counts:
+        return fit([], [])
+    # a hash below a bound that passes twice as many rows as are wanted, then the first of them in each language
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 2.0 * docs_per_language / n + 50.0 / n)])
+    h = F.xxhash64(F.lit(42), "i", "l", "t")
+    some = rows.withColumn("h", h).filter((F.col("h").cast("double") / float(1 << 64) + 0.5) < F.element_at(share, F.col("l")))
+    some = some.select("l", "h", F.substring("t", 1, sample_chars).alias("t"))
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("k") <= docs_per_language)
+    pairs = sorted((r["t"], r["l"]) for r in some.select("t", "l").collect() if any(c.isalpha() for c in r["t"]))
     order = np.random.default_rng(1).permutation(len(pairs))
-    return fit([pairs[i][0] for i in order], [pairs[i][1] for i in order])
+    return fit([pairs[i][0] for i in order], [pairs[i][1] for i in order], document_frequencies(rows, "t"))
 
 
 def predict_languages(docs: DataFrame, model: LangModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

@@ -55,7 +55,8 @@ def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train_langid(docs)
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out")
+    # a null id has no remainder: false
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
     return langid.predict_languages(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
 
 

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -38,6 +39,62 @@ def test_held_out_accuracy_and_calibration(spark, tmp_path, docs):
     assert out[9002].lang_pred == "de" and all(0 <= r.score <= 1 for r in out.values())
 
 
+def brute_features(text):
+    """Feature numbers of one text in plain Python: n-grams of folded characters, hashed."""
+    low = lambda c: c.lower() if len(c.lower()) == 1 and ord(c) < 1 << 16 else c
+    points = [0, *[ord(low(c)) if c.isalpha() else 0 for c in text], 0]
+    m32, out = (1 << 32) - 1, []
+    for order in (1, 2, 3):
+        for at in range(len(points) - 1):
+            h = 0
+            for p in (points + [0, 0])[at : at + order]:
+                h = (h * 0x01000193 + (p + 1) * 0x9E3779B1) & m32
+            h = ((h ^ h >> 15) * 0x85EBCA6B) & m32
+            out.append((h ^ h >> 13) & ((1 << langid.BITS) - 1))
+    return out
+
+
+def brute_predict(model, text):
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    f = brute_features(text)
+    z = [(sum(float(model.table[k][x]) for x in f) / len(f) + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+    e = [math.exp(x - max(z)) for x in z]
+    k = max(range(len(z)), key=lambda i: e[i])
+    return model.languages[k], e[k] / sum(e)
+
+
+def test_predictions_match_brute_force(model):
+    rng = np.random.default_rng(7)
+    texts = [*[sentence(rng, lang, int(rng.integers(1, 12))) for lang in SYLLABLES for _ in range(8)], "", "12 %", "Ünïted É 日本 ß", "a", "𝔘x\0y", "İstanbul"]
+    for text, got in zip(texts, model.predict(texts), strict=True):
+        lang, score = brute_predict(model, text)
+        assert got[0] == lang and got[1] == pytest.approx(score, abs=1e-5)
+
+
+def test_document_frequencies_match_brute_force(docs):
+    rng = np.random.default_rng(8)
+    texts = [sentence(rng, "de", int(rng.integers(1, 9))) for _ in range(40)] + [None, "", "x"]
+    n, df = langid.document_frequencies(docs(texts), "text")
+    expected = np.zeros(1 << langid.BITS)
+    for t in texts:
+        if t is not None:
+            for f in set(brute_features(t)):
+                expected[f] += 1
+    assert n == 42 and (df == expected).all()
+
+
+def test_rare_languages_and_long_documents_are_learned(docs):
+    """A language of 1 in 300 documents, and one that stands in long documents only; ids that are null or repeated."""
+    rng = np.random.default_rng(9)
+    rows = [(7 if i % 3 else None, sentence(rng, "en"), "en", "s") for i in range(1500)]
+    rows += [(4 * i, sentence(rng, "fr"), "fr", "s") for i in range(20)] + [(2000 + i, sentence(rng, "de", 4000), "de", "s") for i in range(8)]
+    model = langid.train_langid(docs(rows), docs_per_language=100)
+    assert set(model.languages) == {"en", "fr", "de"}
+    again = langid.train_langid(docs(rows[::-1]), docs_per_language=100)
+    assert (model.table == again.table).all()
+
+
 def test_weights_are_sparse(model):
     assert 0 < (model.table != 0).mean() < 0.1
     assert model.temperature > 0
@@ -47,7 +104,7 @@ def test_prediction_depends_on_the_text_alone(model):
     texts = ["", "a", sentence(np.random.default_rng(1), "fr"), "日本語", "\0the\0", "𝔘𝔫𝔦"]
     alone = [model.predict([t])[0] for t in texts]
     for a, b in zip(alone, model.predict(texts), strict=True):
-        assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-6)
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-12)
     assert alone[0] == ("und", 0.0) and alone[2][0] == "fr"
 
 
