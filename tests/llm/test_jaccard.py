@@ -122,3 +122,25 @@ def test_one_per_group_with_null_and_repeated_ids(spark, docs):
     got = [(r.doc_id, r.text) for r in jaccard.one_per_group(docs(rows)).collect()]
     expected = [(None, a), (None, b), (7, c), (7, d), (3, f), (9, e), (None, None), (None, " "), (7, "")]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_one_per_group_keeps_unlike_texts_of_one_id(spark, docs, kind):
+    rng = np.random.default_rng(9)
+    x, a, b, c = (words(rng, 30, 10**6) for _ in range(4))
+    rows = [(3, x), (5, a), (5, x), (7, b), (7, c), (8, None), (8, x)]
+    df = docs([(i, t, "en", "s") for i, t in rows]).withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = [(int(r.doc_id), r.text) for r in jaccard.one_per_group(df).collect()]
+    assert sorted(got, key=repr) == sorted([(3, x), (5, a), (7, b), (7, c), (8, None)], key=repr)
+    df = docs([(i, t, "en", "s") for i, t in rows] + [(None, x, "en", "s"), (None, a + " z", "en", "s")]).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")).cast(kind))
+    got = [(r.doc_id and int(r.doc_id), r.text) for r in jaccard.one_per_group(df).collect()]
+    assert sorted(got, key=repr) == sorted([(3, x), (5, a), (None, b), (None, c), (8, None)], key=repr)
+
+
+def test_very_long_texts(spark):
+    """Texts of 200 000 words and copies of them with edits; a text of one word of 3 MB."""
+    rng = np.random.default_rng(10)
+    long = words(rng, 200_000, 10**6)
+    rows = [(1, long), (2, near(rng, long, 3000)), (3, near(rng, long, 30_000)), (4, long + " end"), (5, "x" * 3_000_000), (6, "x" * 3_000_000 + " y"), (7, " ".join(long.split()[:120_000]))]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, _, c in brute(rows)} and got[2] == got[4] == 1 and got[3] == 3

@@ -1,5 +1,8 @@
+import struct
+
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from snapcat.llm import mixing, packing, queries
@@ -98,6 +101,67 @@ def test_packing_keeps_everything(spark, docs):
     assert packing.pack_documents(df.limit(0), mixing.word_count(F.col("text"))).count() == 0
 
 
+def plain_pack(sizes, caps, bin_cost):
+    """Best fit in plain lists: (bin of each piece, room used and capacity of each bin)."""
+    bins, used, size_of = [None] * len(sizes), [], []
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    for k, i in enumerate(order):
+        n = sizes[i]
+        fits = [(size_of[b] - used[b] - n, b) for b in range(len(used)) if used[b] + n <= size_of[b]]
+        if fits:
+            b = min(fits)[1]
+        else:
+            price = []
+            for cap in sorted(c for c in caps if c >= n):
+                room = cap - n
+                for j in order[k + 1 :]:  # fill on with the largest that still fit
+                    if sizes[j] <= room:
+                        room -= sizes[j]
+                price.append(((cap + bin_cost) / (cap - room), cap))
+            b = len(used)
+            used.append(0)
+            size_of.append(min(price)[1])
+        bins[i] = b
+        used[b] += n
+    return bins, used, [min(c for c in caps if c >= u) for u in used]
+
+
+def plain_documents(rows, caps, bin_cost, shard_pieces):
+    """pack_documents() in plain Python for rows (id, words): (id, piece, start, n_tokens, shard, bin, capacity, used)."""
+    most, seen, pieces = max(caps), {}, []
+    for i, n in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        seen[i, n] = seen.get((i, n), 0) + 1
+        pieces += [(i, seen[i, n], p, min(n - p * most, most)) for p in range(-(-n // most))]
+    shards = max(1, -(-len(pieces) // shard_pieces))
+
+    def shard(i, copy, piece):
+        h = 42
+        for x in (i, copy, piece):
+            h = h if x is None else xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        return (h - (1 << 64) if h >> 63 else h) % shards
+
+    by, out = {}, []
+    for p in pieces:
+        by.setdefault(shard(*p[:3]), []).append(p)
+    for s, own in by.items():
+        own.sort(key=lambda p: (p[0] is None, p[0] or 0, p[1], p[2]))
+        bins, used, size_of = plain_pack([p[3] for p in own], caps, bin_cost)
+        out += [(i, piece, piece * most, n, s, b, size_of[b], used[b]) for (i, _, piece, n), b in zip(own, bins, strict=True)]
+    return out
+
+
+def test_packing_matches_brute_force(spark, docs):
+    """The whole result, shards, bins and capacities, with repeated rows, null ids and long documents."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(n)) for i, n in enumerate(rng.integers(0, 300, 260))] + [(9, 40), (9, 40), (None, 17), (None, 17), (300, 2600), (301, 512), (302, 513)]
+    df = spark.createDataFrame([(i, "w " * n) for i, n in rows], "doc_id long, text string").repartition(3)
+    columns = ["doc_id", "piece", "start", "n_tokens", "shard", "bin", "capacity", "used"]
+    for pieces in (64, 10_000):
+        out = packing.pack_documents(df, mixing.word_count(F.col("text")), capacities=(64, 128, 256, 512), bin_cost=16, shard_pieces=pieces).select(*columns)
+        expected = plain_documents(rows, (64, 128, 256, 512), 16, pieces)
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_best_fit():
     bins, caps = packing.pack_sizes([60, 50, 40, 30, 10, 4, 0], [64, 100])
     used = np.bincount(bins, weights=[60, 50, 40, 30, 10, 4, 0])
