@@ -115,7 +115,9 @@ def bins_next_fit(items: DataFrame, target: int) -> DataFrame:
                 bins[a:b] = state.assign(costs[a:b])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins)], ["cls", "seq", "bin"])
 
-    order = items.select("cls", F.col("seq").cast("long").alias("seq"), F.col("cost").cast("long").alias("cost")).orderBy("cls", "seq").coalesce(1)
+    order = items.select("cls", F.col("seq").cast("long").alias("seq"), F.col("cost").cast("long").alias("cost"))
+    # one task: the fold's state is two numbers, and the rows that stream through it are three columns wide
+    order = order.repartition(1).sortWithinPartitions("cls", "seq")
     return items.join(order.mapInArrow(fold, "cls string, seq long, bin long"), ["cls", "seq"])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -20,12 +20,18 @@ def preflight(snapshot: DataFrame, index: DataFrame) -> DataFrame:
     return unsafe.join(F.broadcast(missing), F.lit(True))
 
 
+def _falling(path: Column) -> Column:
+    """A key whose rising order is the falling byte order of paths: hex digits mirrored, longer ones before their prefixes."""
+    return F.concat(F.translate(F.hex(F.encode(path, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
 def restore_plan(snapshot: DataFrame, index: DataFrame, parity: bool = False) -> DataFrame:
     """Rows (phase, ord, action, path, target, pack, member_path, ...) that rebuild a snapshot.
 
     Directories in walk order; one body per object, by pack and object id, so that a pack is read once; further names
     of an inode as links to its first; other files with the same object as copies (with parity they are links too);
-    symbolic links; file metadata; directory metadata, deepest first. `ord` orders rows within a phase.
+    symbolic links; file metadata; directory metadata by falling path bytes, so that what lies in a directory comes before
+    it. `ord` orders rows within a phase.
     """
     groups = link_groups(snapshot) if parity else link_groups(snapshot, ["object_id", "dev", "ino"])
     heads = groups.groupBy("object_id").agg(F.min("seq").alias("_head"), F.min(F.struct("seq", F.col("paths")[0].alias("path"))).alias("_first"))
@@ -41,7 +47,7 @@ def restore_plan(snapshot: DataFrame, index: DataFrame, parity: bool = False) ->
         links.select(F.lit(LINK), s.walk_key(F.col("path")), F.lit("link"), "path", "target", null, null),
         snapshot.filter("type = 'symlink'").select(F.lit(SYMLINK), s.walk_key(F.col("path")), F.lit("symlink"), "path", "target", null, null),
         groups.select(F.lit(FILE_META), s.walk_key(path), F.lit("file metadata"), path, null, null, null),
-        dirs.select(F.lit(DIR_META), F.format_string("%020d", F.lit(10**18) - F.length("path")), F.lit("dir metadata"), "path", null, null, null),
+        dirs.select(F.lit(DIR_META), _falling(F.col("path")), F.lit("dir metadata"), "path", null, null, null),
     ]
     plan = rows[0].toDF(*_COLUMNS)
     for r in rows[1:]:

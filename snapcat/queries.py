@@ -36,6 +36,7 @@ def _values(texts: list[str]) -> str:
     return ", ".join("('" + t.replace("'", "''") + "')" for t in texts)
 
 
+#: fixed values: size literals that the format defines, and ones it rejects
 LITERALS = ["1024", "0", "100M", "50G", "512K", "100m", "", "abc", "100X", "100M5", "-5", "9" * 23, "9223372036854775807", "9007199254740992K", "8589934591G", " 1", "1 "]
 
 
@@ -85,6 +86,7 @@ def mode_octal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.alias("mode"), s.parse_mode(text).alias("parsed"))
 
 
+#: fixed values: paths that are safe to restore, and ones that are not
 PATHS = ["", "/etc/passwd", "..", "../secret", "a/../b", "a/b/..", "../../x", "a.txt", "sub/dir/file", "...", "a..b", "..a", "a../b", ".hidden", "./ok", "with space", 'q"uote', "café/x"]
 _PATHS_SQL = f"(SELECT p AS path FROM (VALUES {_values(PATHS)}) v(p) UNION ALL SELECT url FROM pages UNION ALL SELECT 'a/' || page_id || '/../' || url FROM pages WHERE page_id % 3 = 0)"
 
@@ -128,6 +130,11 @@ def content_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", s.sha256_hex(F.col("text").cast("binary")).alias("sha256"))
 
 
+@query("SELECT doc_id, lower(hex(encode(text))) AS body FROM documents")
+def hex_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", s.to_hex(F.col("text").cast("binary")).alias("body"))
+
+
 @query("""
     WITH d AS (SELECT doc_id, encode(text) AS b FROM documents), h AS (SELECT doc_id, hex(b) AS x, octet_length(b) AS size FROM d),
     c AS (SELECT doc_id, substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS byte, count(*) AS n FROM h, range(0, 4096) r(i) WHERE size >= 4096 GROUP BY ALL),
@@ -140,9 +147,14 @@ def entropy_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round("bits", 6).alias("bits"), entropy.storage_class(F.col("bits"), 4.3).alias("cls"))
 
 
-@query()
+@query("""
+    WITH d AS (SELECT doc_id, encode(text) AS b FROM documents), h AS (SELECT doc_id, hex(b) AS x, octet_length(b) AS size FROM d),
+    c AS (SELECT doc_id, substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS byte, count(*) AS n FROM (SELECT * FROM h WHERE size >= 65536) h, range(0, 65536) r(i) GROUP BY ALL),
+    e AS (SELECT doc_id, -sum(n / 65536.0 * log2(n / 65536.0)) AS bits FROM c GROUP BY doc_id)
+    SELECT h.doc_id, round(coalesce(bits, 0), 6) AS bits, CASE WHEN coalesce(bits, 0) >= 7.5 THEN 'store' ELSE 'normal' END AS cls FROM h LEFT JOIN e USING (doc_id)
+""")
 def entropy_class_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator with the sample and threshold that packing uses (no SQL: a row for each of 65 536 bytes)."""
+    """The operator with the sample and threshold that packing uses; bodies shorter than the sample have no entropy."""
     body = F.col("text").cast("binary")
     d = table(spark, sf_dir, "documents").select("doc_id", entropy.sample_entropy(body, F.octet_length(body)).alias("bits"))
     return d.select("doc_id", F.round("bits", 6).alias("bits"), entropy.storage_class(F.col("bits")).alias("cls"))
@@ -185,28 +197,28 @@ def inode_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RUNS_SQL} SELECT path, CAST(seq AS BIGINT) AS seq, object_id FROM fast")
 def fast_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.fast_dedup(ops.inodes(views.run2(spark, sf_dir)), views.index1(spark, sf_dir)).select("path", "seq", "object_id")
+    return ops.fast_dedup(ops.inodes(views.run2(spark, sf_dir)), views.index0(spark, sf_dir)).select("path", "seq", "object_id")
 
 
-def _missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = views.index1(spark, sf_dir)
+def _missed(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
     return ops.hash_dedup(ops.fast_dedup(ops.inodes(views.run2(spark, sf_dir)), index).filter("object_id is null"), index)
 
 
 @query(f"WITH {RUNS_SQL} SELECT path, CAST(seq AS BIGINT) AS seq, object_id FROM hashed")
 def hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _missed(spark, sf_dir).select("path", "seq", "object_id")
+    return _missed(spark, sf_dir, views.index0(spark, sf_dir).checkpoint()).select("path", "seq", "object_id")
 
 
-@query(f"WITH {RUNS_SQL} SELECT path, 'O' || CAST((SELECT max(n) FROM idx) + row_number() OVER (ORDER BY seq) AS VARCHAR) AS object_id FROM hashed WHERE object_id IS NULL")
+@query(f"WITH {RUNS_SQL} SELECT path, 'O' || CAST((SELECT max(n) FROM idx0) + row_number() OVER (ORDER BY seq) AS VARCHAR) AS object_id FROM hashed WHERE object_id IS NULL")
 def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = ops.next_id(views.index1(spark, sf_dir)).first()[0]
-    return ops.assign_ids(_missed(spark, sf_dir).filter("object_id is null"), start).select("path", "object_id")
+    index = views.index0(spark, sf_dir).checkpoint()
+    start = ops.next_id(index).first()[0]
+    return ops.assign_ids(_missed(spark, sf_dir, index).filter("object_id is null"), start).select("path", "object_id")
 
 
 @query(f"WITH {RUNS_SQL} SELECT CAST(count(object_id) AS BIGINT) AS n_known, CAST(count(*) - count(object_id) AS BIGINT) AS n_new FROM fast")
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.scan_summary(ops.fast_dedup(ops.inodes(views.run2(spark, sf_dir)), views.index1(spark, sf_dir)))
+    return ops.scan_summary(ops.fast_dedup(ops.inodes(views.run2(spark, sf_dir)), views.index0(spark, sf_dir)))
 
 
 @query(f"WITH {RUNS_SQL} SELECT object_id, path FROM (SELECT * FROM idx WHERE doc_id % 3 <> 0 UNION ALL SELECT * REPLACE ('N' || object_id AS object_id) FROM idx WHERE doc_id % 3 = 0) o WHERE NOT EXISTS (SELECT 1 FROM idx WHERE idx.object_id = o.object_id)")
@@ -365,13 +377,14 @@ _TREE_SQL = """, dirs AS (
     ), firsts AS (SELECT object_id, f.path, pack, i.path AS member_path FROM (SELECT object_id, arg_min(path, seq) AS path FROM snap GROUP BY object_id) f JOIN (SELECT object_id, pack, path FROM idx) i USING (object_id))"""
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first run's files and their directories as a snapshot."""
-    rows = views.snapshot1(spark, sf_dir).checkpoint()
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The first run's files and their directories as a snapshot, and the index."""
+    rows, index = views.catalog1(spark, sf_dir)
+    rows = rows.checkpoint()
     parts = F.split("path", "/")
     dirs = rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("path")).distinct()
     empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) if c not in ("path", "type") else (F.lit("dir").alias("type") if c == "type" else F.col("path")) for c in rows.columns]
-    return rows.unionByName(dirs.select(*empty)).withColumn("target", F.lit(None).cast("string"))
+    return rows.unionByName(dirs.select(*empty)).withColumn("target", F.lit(None).cast("string")), index
 
 
 @query(f"""
@@ -383,7 +396,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 6, 'dir metadata', path, NULL, NULL, NULL FROM dirs
 """)
 def restore_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = restore.restore_plan(_tree(spark, sf_dir), views.index1(spark, sf_dir).checkpoint())
+    plan = restore.restore_plan(*_tree(spark, sf_dir))
     return plan.select("phase", "action", "path", "target", "pack", "member_path")
 
 
@@ -391,13 +404,14 @@ def restore_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {RUNS_SQL}{_TREE_SQL}
     SELECT 'mkdir' AS action, path, CAST(row_number() OVER (ORDER BY string_split(path, '/')) AS BIGINT) AS place FROM dirs
     UNION ALL SELECT 'extract', path, row_number() OVER (ORDER BY pack, object_id) FROM firsts
+    UNION ALL SELECT 'dir metadata', path, row_number() OVER (ORDER BY hex(encode(path)) DESC) FROM dirs
 """)
 def restore_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.numbering import number_rows
 
-    plan = restore.restore_plan(_tree(spark, sf_dir), views.index1(spark, sf_dir).checkpoint())
-    numbered = [number_rows(plan.filter(F.col("action") == a).select("action", "path", "ord"), ["ord"], "place", 1) for a in ("mkdir", "extract")]
-    return numbered[0].union(numbered[1]).select("action", "path", "place")
+    plan = restore.restore_plan(*_tree(spark, sf_dir))
+    numbered = [number_rows(plan.filter(F.col("action") == a).select("action", "path", "ord"), ["ord"], "place", 1) for a in ("mkdir", "extract", "dir metadata")]
+    return numbered[0].union(numbered[1]).union(numbered[2]).select("action", "path", "place")
 
 
 @query(f"""
@@ -405,13 +419,14 @@ def restore_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST((SELECT count(*) FROM run1 WHERE path = '' OR starts_with(path, '/')) AS BIGINT) AS n_unsafe, count(DISTINCT object_id) AS n_missing FROM snap WHERE object_id NOT IN (SELECT object_id FROM less)
 """)
 def restore_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restore.preflight(views.snapshot1(spark, sf_dir), views.index1(spark, sf_dir).filter("doc_id % 6 <> 0"))
+    snapshot, index = views.catalog1(spark, sf_dir)
+    return restore.preflight(snapshot, index.filter("doc_id % 6 <> 0"))
 
 
 @query(f"WITH {RUNS_SQL}, less AS (SELECT * FROM idx WHERE doc_id % 6 <> 0) SELECT s.object_id, s.path, less.pack, less.path AS member_path FROM snap s LEFT JOIN less USING (object_id)")
 def restore_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = views.index1(spark, sf_dir).filter("doc_id % 6 <> 0")
-    return ops.resolve_objects(views.snapshot1(spark, sf_dir), index).select("object_id", "path", "pack", "member_path")
+    snapshot, index = views.catalog1(spark, sf_dir)
+    return ops.resolve_objects(snapshot, index.filter("doc_id % 6 <> 0")).select("object_id", "path", "pack", "member_path")
 
 
 @query("""
@@ -487,7 +502,7 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     top = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
     columns = [F.col(f.name).cast(f.dataType) for f in incremental.ROW.fields]
-    for run in (views.run1, views.run2):
+    for run in (views.run0, views.run2):
         run(spark, sf_dir).select(*columns).coalesce(1).write.mode("append").parquet(f"{top}/snapshots")
     incremental.stream_increments(spark, f"{top}/snapshots", f"{top}/index", f"{top}/state").awaitTermination()
     return spark.read.parquet(f"{top}/index").select("batch", "object_id", "path", "size", "sha256")

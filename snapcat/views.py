@@ -1,7 +1,8 @@
 """Catalog views derived from the driver's tables, as DataFrames and as SQL with the same rows.
 
-Documents are files: path from lang, source and id, body = text. Modulo rules make a first run, an index after it, a
-second run with edits and renames, hard links and injected faults.
+Documents are files: path from lang, source and id, body = text. A first run and an index after it hold all documents;
+modulo rules give some a second name, and make a smaller early run, a second run with new files, edits and renames, and
+injected faults.
 """
 
 from __future__ import annotations
@@ -30,10 +31,20 @@ def _names(df: DataFrame) -> DataFrame:
     return df.union(second)
 
 
-def run1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = bodies(spark, sf_dir).drop("text").filter("doc_id % 4 <> 3")
+def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bodies(spark, sf_dir).drop("text")
     d = d.withColumn("mtime_sec", F.col("doc_id") + 1_700_000_000).withColumn("mtime_nsec", F.col("doc_id") * 7919 % 1_000_000_000)
-    return ops.walk_order(_names(d.withColumn("dev", F.lit(1).cast("long")).withColumn("ino", F.col("doc_id") + 1000)))
+    return _names(d.withColumn("dev", F.lit(1).cast("long")).withColumn("ino", F.col("doc_id") + 1000))
+
+
+def run1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files."""
+    return ops.walk_order(_first(spark, sf_dir))
+
+
+def run0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An early run: a quarter of the files is not there yet, so that the second run finds new ones."""
+    return ops.walk_order(_first(spark, sf_dir).filter("doc_id % 4 <> 3"))
 
 
 def run2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,16 +56,31 @@ def run2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.walk_order(_names(d.withColumn("dev", F.lit(1).cast("long")).withColumn("ino", F.col("doc_id") + 5000)))
 
 
+def _index(run: DataFrame) -> DataFrame:
+    obj = ops.assign_ids(ops.inodes(run), 1)
+    return obj.withColumn("pack", s.pack_name(F.floor(s.id_number(F.col("object_id")) / 10) + 1))
+
+
 def index1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The object index after the first run; packs by ten objects."""
-    obj = ops.assign_ids(ops.inodes(run1(spark, sf_dir)), 1)
-    return obj.withColumn("pack", s.pack_name(F.floor(s.id_number(F.col("object_id")) / 10) + 1))
+    return _index(run1(spark, sf_dir))
+
+
+def index0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object index after the early run."""
+    return _index(run0(spark, sf_dir))
+
+
+def catalog1(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(file rows of the first run with their object ids, the index after it); the run is numbered once."""
+    run = run1(spark, sf_dir)
+    index = _index(run).checkpoint()
+    return run.join(index.select("dev", "ino", "object_id"), ["dev", "ino"]).withColumn("type", F.lit("file")), index
 
 
 def snapshot1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File rows of the first run with their object ids."""
-    ids = index1(spark, sf_dir).select("dev", "ino", "object_id")
-    return run1(spark, sf_dir).join(ids, ["dev", "ino"]).withColumn("type", F.lit("file"))
+    return catalog1(spark, sf_dir)[0]
 
 
 RUNS_SQL = """
@@ -62,7 +88,7 @@ RUNS_SQL = """
         SELECT doc_id, lang || '/' || source || '/d' || doc_id || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256, text FROM documents
     ), r1 AS (
         SELECT doc_id, path, size, sha256, doc_id + 1700000000 AS mtime_sec, doc_id * 7919 % 1000000000 AS mtime_nsec, CAST(1 AS BIGINT) AS dev, doc_id + 1000 AS ino
-        FROM bodies WHERE doc_id % 4 <> 3
+        FROM bodies
     ), run1 AS (
         SELECT *, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS seq
         FROM (SELECT * FROM r1 UNION ALL SELECT * REPLACE ('links/d' || doc_id || '.txt' AS path) FROM r1 WHERE doc_id % 20 = 0)
@@ -72,8 +98,12 @@ RUNS_SQL = """
         SELECT *, 'O' || n AS object_id, 'pack-' || lpad(CAST(n // 10 + 1 AS VARCHAR), 6, '0') AS pack FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM obj1)
     ), snap AS (
         SELECT run1.*, idx.object_id FROM run1 JOIN idx USING (dev, ino)
+    ), run0 AS (
+        SELECT * REPLACE (row_number() OVER (ORDER BY seq) - 1 AS seq) FROM run1 WHERE doc_id % 4 <> 3
+    ), idx0 AS (
+        SELECT *, 'O' || n AS object_id FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM (SELECT *, row_number() OVER (PARTITION BY dev, ino ORDER BY seq) AS k FROM run0) WHERE k = 1)
     ), idxsha AS (
-        SELECT sha256, arg_min(object_id, n) AS object_id FROM idx GROUP BY sha256
+        SELECT sha256, arg_min(object_id, n) AS object_id FROM idx0 GROUP BY sha256
     ), r2 AS (
         SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN 'moved/' || path ELSE path END AS path, size + CASE WHEN doc_id % 10 = 5 THEN 1 ELSE 0 END AS size,
             CASE WHEN doc_id % 10 = 5 THEN sha256(text || '!') ELSE sha256 END AS sha256,
@@ -85,7 +115,7 @@ RUNS_SQL = """
     ), obj2 AS (
         SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY dev, ino ORDER BY seq) AS k FROM run2) WHERE k = 1
     ), fast AS (
-        SELECT obj2.*, idx.object_id FROM obj2 LEFT JOIN idx USING (path, size, mtime_sec, mtime_nsec)
+        SELECT obj2.*, idx0.object_id FROM obj2 LEFT JOIN idx0 USING (path, size, mtime_sec, mtime_nsec)
     ), hashed AS (
         SELECT fast.* EXCLUDE object_id, idxsha.object_id FROM fast LEFT JOIN idxsha USING (sha256) WHERE fast.object_id IS NULL
     )"""
