@@ -7,9 +7,11 @@ repositories are local or mounted folders that driver and executors share.
 
 from __future__ import annotations
 
+import grp
 import hashlib
 import logging
 import os
+import pwd
 import shutil
 import time
 from dataclasses import dataclass
@@ -152,6 +154,13 @@ def recover(spark: SparkSession, repo: str) -> list[str]:
     return done
 
 
+def _owners(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(uid, uname) and (gid, gname) of this machine."""
+    users = {u.pw_uid: u.pw_name for u in reversed(pwd.getpwall())}
+    groups = {g.gr_gid: g.gr_name for g in reversed(grp.getgrall())}
+    return spark.createDataFrame(list(users.items()), "uid long, uname string"), spark.createDataFrame(list(groups.items()), "gid long, gname string")
+
+
 def _sampled(root: str):
     def classify(paths: pd.Series) -> pd.Series:
         def one(p: bytes) -> float:
@@ -194,7 +203,9 @@ def pack(spark: SparkSession, repo: str, label: str | None = None, target: int =
     numbers = spark.createDataFrame([(n,) for n in catalog.list_names(os.path.join(repo, "packs"))], "name string")
     planned = pack_plan(spark, objects, header["root"], target, algorithm, recovery.next_pack(numbers).first()[0]).checkpoint()
     names = [r["pack"] for r in planned.select("pack").distinct().orderBy("pack").collect()]
-    rows = planned.select("pack", "seq", "object_id", "path_bytes", "size", "mode", "uid", "gid", "mtime_sec", "mtime_nsec", "cls")
+    times = [f"{t}_{u}" for t in ("mtime", "atime", "ctime", "btime") for u in ("sec", "nsec")]
+    named = ops.with_owner_names(planned, *_owners(spark))
+    rows = named.select("pack", "seq", "object_id", "path_bytes", "size", "mode", "uid", "gid", "uname", "gname", *times, "cls")
     rows = rows.repartition(len(names), "pack").sortWithinPartitions("pack", "seq")
     try:
         rows.write.format("snapcat_packs").mode("append").option("repo", repo).option("root", header["root"]).save()
@@ -285,6 +296,58 @@ def _extract(repo: str, dest: str):
     return run
 
 
+def _finish_body(path: bytes, row, dest: str) -> str | None:
+    """Empty files need no body; any other that is not there was not in its pack."""
+    if not os.path.lexists(path):
+        if not row["empty"]:
+            return f"{row['path']}: not found in its pack"
+        open(path, "wb").close()
+    return None
+
+
+def _below(dest: str, path: str) -> bytes:
+    return os.path.join(os.fsencode(dest), path.encode("latin-1"))
+
+
+def _copy_body(path: bytes, row, dest: str) -> None:
+    shutil.copyfile(_below(dest, row["target"]), path)
+
+
+def _link(path: bytes, row, dest: str) -> None:
+    if os.path.lexists(path):
+        os.remove(path)
+    os.link(_below(dest, row["target"]), path)
+
+
+def _symlink(path: bytes, row, dest: str) -> None:
+    if os.path.lexists(path):
+        os.remove(path)
+    os.symlink(row["target"].encode("latin-1"), path)
+
+
+def _set_metadata(path: bytes, row, dest: str) -> None:
+    if not os.path.lexists(path):
+        return
+    if os.geteuid() == 0:
+        os.chown(path, int(row["uid"]), int(row["gid"]))
+    os.chmod(path, int(row["mode"], 8))
+    mtime = int(row["mtime_sec"]) * 10**9 + int(row["mtime_nsec"])
+    atime = mtime if row["atime_sec"] is None else int(row["atime_sec"]) * 10**9 + int(row["atime_nsec"] or 0)
+    os.utime(path, ns=(atime, mtime))
+
+
+def _each(step, dest: str):
+    """A function over batches that does one step for every row and returns the warnings. A step done twice does no harm."""
+
+    def run(batches):
+        for b in batches:
+            rows = b.astype(object).where(b.notna(), None).to_dict("records")
+            said = [step(_below(dest, r["path"]), r, dest) for r in rows]
+            yield pd.DataFrame({"warning": [x for x in said if x]}, dtype="object")
+
+    return run
+
+
 def restore(spark: SparkSession, repo: str, dest: str, label: str | None = None, parity: bool = False) -> Result:
     """Rebuild a snapshot's tree; checks all paths and objects before it writes anything. value: files restored."""
     _register(spark)
@@ -297,7 +360,7 @@ def restore(spark: SparkSession, repo: str, dest: str, label: str | None = None,
     if unsafe or missing:
         raise Fatal(f"{unsafe} unsafe paths, {missing} objects missing from the index")
     plan = restoring.restore_plan(snapshot, index, parity).checkpoint()
-    full = lambda p: os.path.join(os.fsencode(dest), p.encode("latin-1"))
+    full = lambda p: _below(dest, p)
     ordered = lambda phase: plan.filter(F.col("phase") == phase).orderBy("ord").toLocalIterator()
     os.makedirs(dest, exist_ok=True)
     for r in ordered(restoring.MAKE_DIR):
@@ -308,36 +371,24 @@ def restore(spark: SparkSession, repo: str, dest: str, label: str | None = None,
     differs = (F.col("size") != F.col("_size")) | ((F.col("_sha") != "") & (F.col("sha256") != F.col("_sha")))
     wrong = written.join(packed, ["pack", "member_path"]).filter(differs)
     warnings, n = [f"{r['member_path']}: size or digest differs from the index" for r in wrong.toLocalIterator()], 0
-    sizes = {r["path"]: r for r in snapshot.filter("type = 'file' and size = 0").select("path").toLocalIterator()}
-    for r in plan.filter("action = 'extract'").select("path").toLocalIterator():
-        n += 1
-        log.info("restored %s", r["path"])
-        if not os.path.lexists(full(r["path"])):
-            if r["path"] in sizes:
-                open(full(r["path"]), "wb").close()
-            else:
-                warnings.append(f"{r['path']}: not found in its pack")
-    for r in plan.filter("action = 'copy'").select("path", "target").toLocalIterator():
-        shutil.copyfile(full(r["target"]), full(r["path"]))
-        n += 1
-    for phase, make in ((restoring.LINK, os.link), (restoring.SYMLINK, None)):
-        for r in ordered(phase):
-            if os.path.lexists(full(r["path"])):
-                os.remove(full(r["path"]))
-            if make:
-                make(full(r["target"]), full(r["path"]))
-            else:
-                os.symlink(r["target"].encode("latin-1"), full(r["path"]))
+    empty = snapshot.filter("type = 'file' and size = 0").select("path", F.lit(True).alias("empty"))
+    bodies = plan.filter("action = 'extract'").select("path").join(empty, "path", "left")
+    n += bodies.count() + plan.filter("action = 'copy'").count()
+    # a phase is done by the executors, path by path, before the next begins
     meta = snapshot.select("path", "mode", "uid", "gid", "mtime_sec", "mtime_nsec", "atime_sec", "atime_nsec")
-    steps = plan.filter(F.col("phase").isin(restoring.FILE_META, restoring.DIR_META)).join(meta, "path").orderBy("phase", "ord")
-    for r in steps.toLocalIterator():
-        path = full(r["path"])
-        if not os.path.lexists(path):
-            continue
-        if os.geteuid() == 0:
-            os.chown(path, r["uid"], r["gid"])
-        os.chmod(path, int(r["mode"], 8))
-        mtime = r["mtime_sec"] * 10**9 + r["mtime_nsec"]
-        atime = mtime if r["atime_sec"] is None else r["atime_sec"] * 10**9 + (r["atime_nsec"] or 0)
-        os.utime(path, ns=(atime, mtime))
+    with_meta = lambda phase: plan.filter(F.col("phase") == phase).select("path", "ord").join(meta, "path")
+    steps = [
+        (_finish_body, bodies.select("path", F.coalesce("empty", F.lit(False)).alias("empty"))),
+        (_copy_body, plan.filter("action = 'copy'").select("path", "target")),
+        (_link, plan.filter(F.col("phase") == restoring.LINK).select("path", "target")),
+        (_symlink, plan.filter(F.col("phase") == restoring.SYMLINK).select("path", "target")),
+        (_set_metadata, with_meta(restoring.FILE_META).drop("ord")),
+    ]
+    for step, rows in steps:
+        warnings += [r["warning"] for r in rows.mapInPandas(_each(step, dest), "warning string").collect()]
+    for r in bodies.select("path").toLocalIterator() if log.isEnabledFor(logging.INFO) else ():
+        log.info("restored %s", r["path"])
+    # directories in order: what lies in one comes before it
+    for r in with_meta(restoring.DIR_META).orderBy("ord").toLocalIterator():
+        _set_metadata(full(r["path"]), r, dest)
     return Result(n, warnings)

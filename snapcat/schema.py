@@ -44,4 +44,7 @@ TREE = _struct(
     "ctime_sec BIGINT, ctime_nsec INT, dev BIGINT, ino BIGINT, nlink BIGINT, size BIGINT, mode STRING, target_bytes BINARY, sha256 STRING, head BINARY, warning STRING, severity INT"
 )
 #: what the pack source yields
-MEMBER = _struct("pack STRING, member BIGINT, path_bytes BINARY, offset BIGINT, size BIGINT, n_read BIGINT, sha256 STRING, error STRING")
+MEMBER = _struct(
+    "pack STRING, member BIGINT, path_bytes BINARY, offset BIGINT, size BIGINT, n_read BIGINT, sha256 STRING, error STRING, mode STRING, uid BIGINT, gid BIGINT, uname STRING, gname STRING, "
+    "mtime_sec BIGINT, mtime_nsec INT, atime_sec BIGINT, atime_nsec INT, ctime_sec BIGINT, ctime_nsec INT, btime_sec BIGINT, btime_nsec INT"
+)
