@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repository, views
+from . import views
 from .functions import entropy
 from .functions import scalars as s
 from .operators import catalog as ops
@@ -457,43 +455,14 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("path", s.number_or(F.col("size")).alias("size"), s.number_or(F.col("mtime_sec")).alias("mtime_sec"), "object_id", "sha256", "type")
 
 
-# ------------------------------------------------------------------ real files
-
-
-def _make_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
-    """All documents as files, with a hard link and a symbolic link: real input and output."""
-    for r in views.bodies(spark, sf_dir).select("path", "text").toLocalIterator():
-        full = os.path.join(root, r["path"])
-        os.makedirs(os.path.dirname(full), exist_ok=True)
-        with open(full, "w", encoding="utf-8") as f:
-            f.write(r["text"] or "")
-    names = sorted(os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs)
-    os.link(names[0], os.path.join(root, "again.txt"))
-    os.symlink("again.txt", os.path.join(root, "pointer"))
-
-
-@query()
-def tree_pack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scan, pack, verify, restore and scan again over real files; a row per entry with whether it came back the same."""
-    with tempfile.TemporaryDirectory() as top:
-        root, repo, dest = (os.path.join(top, n) for n in ("tree", "repo", "back"))
-        os.makedirs(root)
-        _make_tree(spark, sf_dir, root)
-        repository.scan(spark, root, repo, "first")
-        repository.pack(spark, repo, target=1 << 20)
-        clean = repository.verify(spark, repo, deep=True).value
-        repository.restore(spark, repo, dest)
-        before, _ = repository.scan_entries(spark, root, hashed=True)
-        after, _ = repository.scan_entries(spark, dest, hashed=True)
-        keys = ["type", "path", "mode", "size", "sha256", "mtime_sec", "mtime_nsec"]
-        same = F.lit(True)
-        for k in keys[2:]:
-            same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) if not k.startswith("mtime") else same & (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) | (F.col("a.type") == "symlink"))
-        joined = before.alias("a").join(after.alias("b"), ["type", "path"], "full")
-        return joined.select("type", "path", F.coalesce(same, F.lit(False)).alias("same"), F.lit(clean).alias("verified")).checkpoint()
-
-
-@query()
+# ------------------------------------------------------------------ streaming
+
+
+@query(f"""
+    WITH {RUNS_SQL}
+    SELECT 0 AS batch, object_id, path, size, sha256 FROM idx0
+    UNION ALL SELECT 1, 'O' || CAST((SELECT max(n) FROM idx0) + row_number() OVER (ORDER BY seq) AS VARCHAR), path, size, sha256 FROM hashed WHERE object_id IS NULL
+""")
 def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both runs as a stream of two snapshots; the index that results."""
     from .operators.numbering import ensure_checkpoint_dir
@@ -505,4 +474,7 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in (views.run0, views.run2):
         run(spark, sf_dir).select(*columns).coalesce(1).write.mode("append").parquet(f"{top}/snapshots")
     incremental.stream_increments(spark, f"{top}/snapshots", f"{top}/index", f"{top}/state").awaitTermination()
-    return spark.read.parquet(f"{top}/index").select("batch", "object_id", "path", "size", "sha256")
+    out = spark.read.parquet(f"{top}/index").select(F.col("batch").cast("int").alias("batch"), "object_id", "path", "size", "sha256").checkpoint()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(top)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return out

@@ -1,5 +1,7 @@
+import grp
 import json
 import os
+import pwd
 import stat
 
 import numpy as np
@@ -11,6 +13,8 @@ from snapcat import cli, repository
 from snapcat.plans import publish
 from snapcat.schema import ENTRY
 from snapcat.sources import catalog, files, packs
+from snapcat.sources.lines import LinesSource
+from snapcat.sources.tree import TreeReader, birth_ns
 
 
 def write(root, name, data):
@@ -243,3 +247,44 @@ def test_command_line(spark, place, capsys):
     assert sorted(os.listdir(back + "-far")) == sorted(publish.FOLDERS)
     os.remove(os.path.join(repo, "packs/pack-000001.tar.zst"))
     assert cli.main(["verify", "--repo", repo], spark) == 1
+
+
+def test_lines_are_read_by_byte_ranges(spark, tmp_path):
+    """Every line once with its offset, whatever the ranges; the last one without a line feed too."""
+    lines = ["", "a", "é" * 30, "x" * 200, "", "last"]
+    (tmp_path / "f").write_bytes("\n".join(lines).encode())
+    spark.dataSource.register(LinesSource)
+    at = [sum(len(x.encode()) + 1 for x in lines[:k]) for k in range(len(lines))]
+    for split in (1, 7, 64, 10**6):
+        rows = spark.read.format("snapcat_lines").option("path", str(tmp_path / "f")).option("split", split).load().collect()
+        assert sorted(map(tuple, rows)) == list(zip(at, lines, strict=True))
+
+
+def test_one_folder_that_holds_all_is_dealt_to_many_tasks(spark, tmp_path):
+    top = tmp_path / "only"
+    for k in range(40):
+        (top / f"d{k}" / "deep" / "er").mkdir(parents=True)
+        (top / f"d{k}" / "deep" / "er" / "f").write_text("x")
+    reader = TreeReader({"root": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) > 40 and max(len(p.entries) for p in parts) < 4
+    found = sorted(r[1] for p in parts for r in reader.read(p))
+    assert found == sorted(os.fsencode(os.path.relpath(os.path.join(d, n), tmp_path)) for d, ds, fs in os.walk(tmp_path) for n in (*ds, *fs))
+
+
+def test_members_keep_owners_and_all_times(spark, tmp_path):
+    """Names of owner and group and the four times stand in the archive's headers; unfinished files have names of their own."""
+    tree, repo = tmp_path / "tree", tmp_path / "repo"
+    tree.mkdir()
+    (tree / "f").write_text("body")
+    os.utime(tree / "f", ns=(1_600_000_000_000_000_007, 1_500_000_000_000_000_009))
+    repository.scan(spark, str(tree), str(repo), "a")
+    os.utime(tree / "f", ns=(1_600_000_000_000_000_007, 1_500_000_000_000_000_009))
+    repository.pack(spark, str(repo))
+    r = spark.read.format("snapcat_packs").option("dir", str(repo / "packs")).load().first()
+    assert (r.mtime_sec, r.mtime_nsec) == (1_500_000_000, 9) and r.atime_sec >= 1_600_000_000 and r.ctime_sec > 1_700_000_000
+    assert (r.uid, r.gid) == (os.getuid(), os.getgid()) and r.uname == pwd.getpwuid(os.getuid()).pw_name and r.gname == grp.getgrgid(os.getgid()).gr_name
+    st = os.stat(tree / "f")
+    born = birth_ns(os.fsencode(tree / "f"), st)
+    assert born is None or (r.btime_sec, r.btime_nsec) == divmod(born, 10**9) and born <= st.st_ctime_ns
+    assert sorted(os.listdir(repo / "packs")) == ["pack-000001.json", "pack-000001.tar.zst"]
