@@ -199,20 +199,29 @@ class CrfModel:
         return states
 
 
-def _fit(x: np.ndarray, y: np.ndarray, on: np.ndarray, steps: int, l2: float) -> CrfModel:
-    """Maximum likelihood by Adam. x: groups x windows x length, y: states, on: which cells hold a word."""
-    groups, n, length = x.shape
+def _fit(x: np.ndarray, y: np.ndarray, on: np.ndarray, steps: int, l2: float, parts: int = 4, seed: int = 3) -> CrfModel:
+    """Maximum likelihood by Adam over `parts` mini-batches in turn. x: groups x windows x length, y: states, on: which
+    cells hold a word."""
     w, t = np.zeros((N_FEATURES + 1, 3)), np.zeros((3, 3))
-    flat, used = x.reshape(groups, -1), on.reshape(-1)
-    gold = np.zeros((n * length, 3))
-    gold[np.arange(n * length), y.reshape(-1)] = 1
-    pair_gold = np.zeros((3, 3))
-    both = on[:, 1:] & on[:, :-1]
-    np.add.at(pair_gold, (y[:, :-1][both], y[:, 1:][both]), 1)
+    order = np.random.default_rng(seed).permutation(x.shape[1])
+    batches = []
+    for own in (order[k::parts] for k in range(parts)):
+        if not len(own):
+            continue
+        by, bon = y[own], on[own]
+        gold = np.zeros((by.size, 3))
+        gold[np.arange(by.size), by.reshape(-1)] = 1
+        pair_gold = np.zeros((3, 3))
+        both = bon[:, 1:] & bon[:, :-1]
+        np.add.at(pair_gold, (by[:, :-1][both], by[:, 1:][both]), 1)
+        batches.append((x[:, own].reshape(x.shape[0], -1), bon, gold, pair_gold, both))
     m = [np.zeros_like(w), np.zeros_like(t)]
     v = [np.zeros_like(w), np.zeros_like(t)]
     for step in range(1, steps + 1):
-        e = sum(w[flat[g]] for g in range(groups)).reshape(n, length, 3)
+        flat, on, gold, pair_gold, both = batches[step % len(batches)]
+        n, length = on.shape
+        used = on.reshape(-1)
+        e = sum(w[f] for f in flat).reshape(n, length, 3)
         et = np.exp(t)
         ee = np.exp(e - e.max(2, keepdims=True))
         alpha, beta = np.zeros((n, length, 3)), np.ones((n, length, 3))
@@ -236,14 +245,15 @@ def _fit(x: np.ndarray, y: np.ndarray, on: np.ndarray, steps: int, l2: float) ->
         gt = pair_gold - pair[both].sum(0)
         d = (gold - p.reshape(-1, 3)) * used[:, None]
         gw = np.zeros_like(w)
-        for g in range(groups):
+        for f in flat:
             for s in range(3):
-                gw[:, s] += np.bincount(flat[g], weights=d[:, s], minlength=N_FEATURES + 1)
+                gw[:, s] += np.bincount(f, weights=d[:, s], minlength=N_FEATURES + 1)
+        rate = min(1.0, 2 * (1 - step / (steps + 1)))  # falls in the second half
         for i, (p_, g_) in enumerate(((w, gw), (t, gt))):
             g_ = g_ / n - l2 * p_
             m[i] = 0.9 * m[i] + 0.1 * g_
             v[i] = 0.99 * v[i] + 0.01 * g_ * g_
-            p_ += 0.15 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
+            p_ += 0.15 * rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
         w[N_FEATURES] = 0
     return CrfModel(w.astype(np.float32), t.astype(np.float32))
 
@@ -344,6 +354,8 @@ def invent_dense(texts: list[str], rng: np.random.Generator, window: int, many:
         if i % 4 == 0:
             again = str(pick(pick(pools))).strip(".,:;=\"'") + pick((".", ",", "", ";", "!"))
             words = [(again, 0)] * (window if i % 8 else window // 2)
+            if i % 12 == 0:
+                words = [(w.upper() + pick(("!!", "", ".")), 0) for w in pick(pools)[:window]]
         while len(words) < window:
             if i % 2:
                 joint, quote = pick(_JOINTS)
@@ -356,7 +368,7 @@ def invent_dense(texts: list[str], rng: np.random.Generator, window: int, many:
     return out
 
 
-def fit_texts(texts: list[str], window: int = 24, steps: int = 200, l2: float = 2e-5, seed: int = 7) -> CrfModel:
+def fit_texts(texts: list[str], window: int = 24, steps: int = 240, l2: float = 2e-5, seed: int = 7) -> CrfModel:
     """Train on texts labelled by the fixed patterns, if any match, and on invented windows; see train_crf."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
