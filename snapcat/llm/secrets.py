@@ -92,9 +92,9 @@ _AT = np.concatenate(([0], np.cumsum(_SIZES)))
 N_FEATURES = int(_AT[-1])
 _CONTEXT = (2, 3, 4, 6)
 
-_IS_DIGIT, _IS_UPPER, _IS_LOWER = (np.zeros(256, np.int32) for _ in range(3))
+_IS_DIGIT, _IS_UPPER, _IS_LOWER, _IS_HIGH = (np.zeros(256, np.int32) for _ in range(4))
 _IS_DIGIT[48:58] = _IS_UPPER[65:91] = _IS_LOWER[97:123] = 1
-_IS_LOWER[128:] = 1
+_IS_HIGH[128:] = 1
 
 
 def _count(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -107,8 +107,8 @@ def features(data: np.ndarray, offsets: np.ndarray):
     """(starts, ends, first word of each document, features): a row of feature numbers for each word."""
     starts, ends, first = tx.word_bounds(data, offsets)
     size = (ends - starts).astype(np.int32)
-    digit, upper, lower = (_count(t, data, starts, ends) for t in (_IS_DIGIT, _IS_UPPER, _IS_LOWER))
-    other = size - digit - upper - lower
+    digit, upper, lower, high = (_count(t, data, starts, ends) for t in (_IS_DIGIT, _IS_UPPER, _IS_LOWER, _IS_HIGH))
+    other = size - digit - upper - lower - high
     shape = np.searchsorted(np.array([6, 12, 20, 32, 48]), size, "right")
     shape = shape * 4 + np.where(digit == 0, 0, np.where(digit * 10 < size * 3, 1, np.where(digit * 10 < size * 7, 2, 3)))
     shape = ((shape * 2 + (upper > 1)) * 2 + (lower > 0)) * 3 + np.minimum((other + 1) // 2, 2)
