@@ -3,7 +3,9 @@
 Step 1 finds where repeats can be. Of every document the anchors are taken: 20-byte strings whose hash is the least
 of 31 neighbours (winnowing), so every 50-byte string holds an anchor, chosen by its own bytes alone. Two equal
 50-byte strings therefore hold the same anchor at the same offset, and only anchors that occur in two different
-texts matter. Only their hashes are shuffled.
+texts matter. Only their hashes are shuffled. Anchors that tasks see often while they name the texts are counted first:
+those found to be very common are known to recur, and their occurrences are dealt by document, so that no task gathers
+a line that stands in all documents.
 
 Step 2 decides. Around each such anchor the 80 bytes that 50-byte strings holding it can cover form a context.
 Contexts are dealt by anchor, so all equal 50-byte strings meet in one task. It joins its distinct contexts into one
@@ -38,6 +40,8 @@ GRAM = 20
 FLUSH, BUCKET, CONTEXTS = 1_000_000, 400_000, 12_000
 #: occurrences of an anchor in a task, and most rows of the list of anchors that are dealt to several
 SHARE, MOST_HOT = 20_000, 1 << 20
+#: an anchor is counted for the list where a task sees it so often among FLUSH ones
+OFTEN = 4
 #: level of zstd for texts, and for packed columns
 TEXT_LEVEL, PACK_LEVEL = 3, 1
 _NONE = (1 << 63) - 1
@@ -144,20 +148,56 @@ def _cut(order_by: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, li
     return order, edges, [b for b in range(buckets) if edges[b] < edges[b + 1]]
 
 
-def _named(docs: DataFrame) -> DataFrame:
+def _named(docs: DataFrame, width: int) -> DataFrame:
+    """(id, key, n_bytes, sha) of every row, and rows (anchor, n) of anchors that a task has seen often, with id and key null.
+
+    A task counts a text that it has seen before once.
+    """
+    columns = ["id", "key", "n_bytes", "sha", "anchor", "n"]
+
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, raw, _, offsets, keys in _documents(batches, "text"):
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def often() -> Iterator[pa.RecordBatch]:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values, counts = values[counts >= OFTEN], counts[counts >= OFTEN]
+            if k := len(values):
+                none = [pa.nulls(k, pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([*none, pa.nulls(k, pa.string()), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], columns)
+
+        for ids, raw, data, offsets, keys in _documents(batches, "text"):
             ends = offsets.tolist()
             sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(np.diff(offsets)), pa.array(sha)], ["id", "key", "n_bytes", "sha"])
+            none = [pa.nulls(len(keys), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(np.diff(offsets)), pa.array(sha), *none], columns)
+            new = np.array([not (k in seen or seen.add(k)) for k in keys], bool)
+            a = Anchors(data, offsets, width)
+            hashes = a.hashes[new[np.searchsorted(offsets, a.at, "right") - 1]]
+            if len(hashes):
+                held.append(hashes)
+                size += len(hashes)
+            if size >= FLUSH:
+                yield from often()
+                held, size = [], 0
+        if held:
+            yield from often()
+
+    return docs.mapInArrow(name, "id long, key long, n_bytes long, sha string, anchor long, n long")
+
 
-    return docs.mapInArrow(name, "id long, key long, n_bytes long, sha string")
+def anchor_number(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The name of an anchor as one number."""
+    bucket, name = anchor_name(hashes, buckets)
+    return name.astype(np.int64) << 24 | bucket
 
 
-def _recurring(docs: DataFrame, heads, width: int, buckets: int, share: int) -> DataFrame:
+def _recurring(docs: DataFrame, heads, width: int, buckets: int, share: int, common) -> DataFrame:
     """(id, anchor) of anchors that occur under two ids; under id null, once for every `share` ids more, the hot ones.
 
-    heads: filter of (text, smallest id); most other copies of a text are passed over.
+    heads: filter of (text, smallest id); most other copies of a text are passed over. common: sorted numbers of anchors
+    known to be very common; they are marked wherever they occur, and their rows are dealt by id.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +208,17 @@ def _recurring(docs: DataFrame, heads, width: int, buckets: int, share: int) ->
         def deal() -> pa.RecordBatch:
             h, doc = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             bucket, name = anchor_name(h, buckets)
-            order, edges, rows = _cut(bucket, buckets)
+            home, known = bucket.astype(np.int32), np.zeros(len(h), bool)
+            if len(common.value):
+                number = anchor_number(h, buckets)
+                known = common.value[np.minimum(np.searchsorted(common.value, number), len(common.value) - 1)] == number
+                bucket = np.where(known, buckets + (tx.mix64(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), bucket)
+            order, edges, rows = _cut(bucket, 2 * buckets)
             low, high, doc = (name & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], (name >> np.uint64(32)).astype(np.uint8)[order], doc[order]
+            home = home[order]
             part = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in rows], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), part(low), part(high), part(doc)], ["bucket", "low", "high", "id"])
+            homes = pa.array([home[edges[b] : edges[b + 1]].tobytes() if b >= buckets else b"" for b in rows], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), part(low), part(high), part(doc), homes], ["bucket", "low", "high", "id", "home"])
 
         for ids, _, data, offsets, keys in _documents(batches, "text"):
             ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -192,6 +239,9 @@ def _recurring(docs: DataFrame, heads, width: int, buckets: int, share: int) ->
         get = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
         name = get("low", np.uint32).astype(np.int64) | (get("high", np.uint8).astype(np.int64) << 32)
         doc = get("id", np.int64)
+        if (own := table.column("bucket")[0].as_py()) >= buckets:
+            seen = np.unique(np.stack([doc, name << 24 | get("home", np.int32)]), axis=1)
+            return pa.table({"id": seen[0], "anchor": seen[1]})
         order = np.argsort(name, kind="stable")
         name, doc = name[order], doc[order]
         same = np.zeros(len(name) + 1, bool)
@@ -205,13 +255,13 @@ def _recurring(docs: DataFrame, heads, width: int, buckets: int, share: int) ->
         name, doc = name[new], doc[new]
         runs = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
         n = np.diff(np.concatenate((runs, [len(name)])))
-        anchor = name << 24 | int(table.column("bucket")[0].as_py())
+        anchor = name << 24 | int(own)
         hot = np.repeat(anchor[runs], n // share)
         anchor[runs] |= _FIRST
         kept = np.repeat(n, n) > 1
         return pa.table({"id": pa.concat_arrays([pa.array(doc[kept]), pa.nulls(len(hot), pa.int64())]), "anchor": np.concatenate((anchor[kept], hot))})
 
-    made = docs.mapInArrow(make, "bucket int, low binary, high binary, id binary")
+    made = docs.mapInArrow(make, "bucket int, low binary, high binary, id binary, home binary")
     return made.groupBy("bucket").applyInArrow(meet, "id long, anchor long")
 
 
@@ -323,8 +373,7 @@ def _contexts(marked: DataFrame, width: int, anchor_buckets: int, buckets: int,
                 data = np.frombuffer(b"".join(texts), np.uint8)
                 offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
                 a = Anchors(data, offsets, width)
-                bucket, name = anchor_name(a.hashes, anchor_buckets)
-                own = name.astype(np.int64) << 24 | bucket
+                own = anchor_number(a.hashes, anchor_buckets)
                 cuts = np.searchsorted(a.at, offsets)
                 mark = np.full(len(own), -1, np.int64)
                 for d in range(hi - lo):
@@ -430,25 +479,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte is removed if a `width`-byte string that covers it also starts in a document with a smaller id; strings
     are judged on the input and never cross documents. Null and empty texts have no bytes; ids are whole numbers,
     null counts as larger than any. Rows with equal ids do not count against each other. Equal texts of larger ids
-    are removed whole. Other columns are ignored; an empty table gives an empty one. Relies on 64-bit hashes of
-    whole texts and of 20-byte anchors; a collision of anchors costs time only.
+    are removed whole. Very long texts are cut into blocks of anchors and stay whole. Other columns are ignored; an empty
+    table gives an empty one. Texts and contexts (of up to 80 bytes, with their anchor) are named by 64-bit hashes, and
+    the result rests on those not colliding; a collision of anchors costs time only.
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    info = _named(rows).checkpoint()
+    made = _named(rows, width).checkpoint()
+    info = made.filter("anchor is null").select("id", "key", "n_bytes", "sha")
     classes = info.groupBy("key").agg(F.min("id").alias("least"), F.max("n_bytes").alias("n")).filter(F.col("n") >= width).checkpoint()
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
     density = 2 / (width - GRAM + 2)
     anchor_buckets = int(max(16, total * density // BUCKET))
     heads = key_filter(_copy_keys(classes))
     share = max(SHARE, int(total * density) // MOST_HOT)
-    found = _recurring(rows, heads, width, anchor_buckets, share)
+    # anchors of very many documents: their counts add up to the anchors there are, so their shares to MOST_HOT at most
+    counted = made.filter("anchor is not null").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") >= share).toPandas()
+    common, at = np.unique(anchor_number(counted["anchor"].to_numpy(np.int64).view(np.uint64), anchor_buckets), return_inverse=True)
+    shares = np.zeros(len(common), np.int64)
+    np.add.at(shares, at, counted["n"].to_numpy(np.int64) // share)
+    found = _recurring(rows, heads, width, anchor_buckets, share, spark.sparkContext.broadcast(common))
     made = found.groupBy("id").agg(F.collect_list("anchor").alias("marks")).checkpoint()
     release(spark)
-    # anchors of very many documents: their shares add up to MOST_HOT at most
-    hot = made.filter("id is null").select(F.explode("marks").alias("anchor")).groupBy("anchor").count().orderBy("anchor").toPandas()
-    hot = spark.sparkContext.broadcast((hot["anchor"].to_numpy(np.int64), hot["count"].to_numpy(np.int64)))
+    hot = made.filter("id is null").select(F.explode("marks").alias("anchor")).groupBy("anchor").count().toPandas()
+    hot_anchor, hot_shares = np.concatenate((hot["anchor"].to_numpy(np.int64), common)), np.concatenate((hot["count"].to_numpy(np.int64), shares))
+    order = np.argsort(hot_anchor)
+    hot = spark.sparkContext.broadcast((hot_anchor[order], hot_shares[order]))
     marks = made.filter("id is not null")
     many = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
     texts = _texts(rows, heads, key_filter(marks.select(F.col("id").alias("key"))), True)

@@ -49,10 +49,24 @@ def run(spark, rows, **options):
     return sorted(tuple(r) for r in repeats.remove_repeats(df, **options).collect())
 
 
+def test_a_line_in_all_documents(spark, monkeypatch):
+    """Its anchors are counted first, marked everywhere and dealt by document; the result is that of the brute force."""
+    for name, value in (("BUCKET", 100), ("CONTEXTS", 50), ("SHARE", 20), ("FLUSH", 2000)):
+        monkeypatch.setattr(repeats, name, value)
+    rng = np.random.default_rng(4)
+    line = words(rng, 30, 10**6)
+    rows = [(i, f"{words(rng, 12, 10**6)} {line} {words(rng, int(rng.integers(1, 20)), 10**6)}" if i % 9 else f"{line} {line[:90]}") for i in range(300)]
+    seen = []
+    plain = repeats._recurring
+    monkeypatch.setattr(repeats, "_recurring", lambda *a: seen.append(len(a[5].value)) or plain(*a))
+    assert run(spark, rows) == brute(rows)
+    assert seen[0] > 3
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_matches_brute_force(spark, monkeypatch, small):
     if small:  # many buckets, anchors dealt to several tasks
-        for name, value in (("BUCKET", 60), ("CONTEXTS", 5), ("SHARE", 3), ("FLUSH", 400)):
+        for name, value in (("BUCKET", 60), ("CONTEXTS", 5), ("SHARE", 3), ("FLUSH", 400), ("OFTEN", 2)):
             monkeypatch.setattr(repeats, name, value)
     rows = corpus(np.random.default_rng(int(small)))
     expected = brute(rows)
