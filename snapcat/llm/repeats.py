@@ -538,7 +538,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     done = both.mapInArrow(cut, "k long, removed long, spans long, kept string").dropDuplicates(["k"])
-    out = info.join(classes.select("key", "least"), "key", "left").join(done, info["key"] == done["k"], "left")
+    # a row per text first, so that the join with its copies is one of two plain shuffles, which adaptive execution splits
+    texts = classes.select("key", "least").join(done, F.col("key") == F.col("k"), "left").drop("k").checkpoint()
+    out = info.join(texts, "key", "left")
     copy = F.coalesce(F.col("id") > F.col("least"), F.lit(False))
     empty = hashlib.sha256().hexdigest()
     return out.select(
