@@ -302,8 +302,9 @@ def jaccard_components(
     release(spark)
     more = verified(docs, cross, text_col, width, percent)
     linked = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    named = classes.join(linked, classes["key"] == linked["node"], "left").select(F.col("key").alias("k"), "least", F.coalesce("component", "key").alias("comp"))
-    heads = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = classes.join(linked, classes["key"] == linked["node"], "left").select(F.col("key").alias("k"), "least", F.coalesce("component", "key").alias("comp")).checkpoint()
+    # finished rows first: joins of two plain shuffles are those that adaptive execution splits
+    heads = named.groupBy("comp").agg(F.min("least").alias("component_id")).checkpoint()
     named = named.join(heads, "comp").select("k", "component_id")
     out = rows.join(named, rows["key"] == named["k"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("set_key"))
