@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +15,19 @@ BATCH_ROWS = 1000
 
 
 def checkpoint_dir(spark) -> None:
-    """Make sure that a checkpoint folder is set (the one the cluster names, else, for tests, one under /tmp) and that
-    Arrow batches are small enough for long texts."""
+    """Make sure that a checkpoint folder is set and that Arrow batches are small enough for long texts.
+
+    The folder is the one the cluster names; only in local mode, where driver and executors share it, one under /tmp
+    stands in. The batch size is lowered for the session, never raised.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
 
 
 def release(spark) -> None:
