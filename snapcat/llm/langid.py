@@ -126,13 +126,22 @@ def fit(
     languages = sorted(set(langs))
     if not languages:
         return LangModel([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), 1.0)
-    docs = []
+    # features and shares of all texts in a few large arrays: they leave the driver's memory as a whole
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    sizes = np.zeros(len(texts) + 1, np.int64)
     df = np.zeros(1 << BITS)
-    for t in texts:
-        grams, _, ends, _ = ngrams([t])
-        f, c = np.unique(np.concatenate([g[: ends[0]] for g in grams]), return_counts=True)
-        docs.append((f, c / c.sum()))
-        df[f] += 1
+    for lo in range(0, len(texts), 256):
+        held = []
+        for i, t in enumerate(texts[lo : lo + 256], lo):
+            grams, _, ends, _ = ngrams([t])
+            f, c = np.unique(np.concatenate([g[: ends[0]] for g in grams]), return_counts=True)
+            held.append((f.astype(np.int32), (c / c.sum()).astype(np.float32)))
+            sizes[i + 1] = len(f)
+            df[f] += 1
+        parts.append((np.concatenate([f for f, _ in held]), np.concatenate([c for _, c in held])))
+    features, shares = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    del parts, held
+    edges = np.cumsum(sizes)
     n, k = len(texts), len(languages)
     all_docs, df = frequencies or (n, df)
     idf = np.log((1 + all_docs) / (1 + df)) + 1
@@ -149,8 +158,8 @@ def fit(
 
     for _ in range(epochs):
         for i in rng.permutation(np.flatnonzero(~held)):
-            f, share = docs[i]
-            x = share * idf[f] * scale
+            f = features[edges[i] : edges[i + 1]]
+            x = shares[edges[i] : edges[i + 1]] * idf[f] * scale
             w = weights(f)
             s = x @ w + bias
             p = np.exp(s - s.max())
@@ -222,7 +231,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarra
 
 
 def train_langid(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1000, sample_chars: int = 20_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1000, sample_chars: int = 4000
 ) -> LangModel:
     """Train on at most `docs_per_language` documents of each language that are labelled and not held out (those with the
     smallest hashes of id, label and text), on the first `sample_chars` characters of each.
