@@ -302,6 +302,7 @@ def jaccard_components(
     release(spark)
     more = verified(docs, cross, text_col, width, percent)
     linked = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    release(spark)
     named = classes.join(linked, classes["key"] == linked["node"], "left").select(F.col("key").alias("k"), "least", F.coalesce("component", "key").alias("comp"))
     heads = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = named.join(heads, "comp").select("k", "component_id")
