@@ -283,7 +283,7 @@ def predict_languages(docs: DataFrame, model: LangModel, text_col: str = "text",
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(predict, schema)
 
 
-def keep_languages(docs: DataFrame, model: LangModel, least: float = 0.4, text_col: str = "text") -> DataFrame:
+def keep_languages(docs: DataFrame, model: LangModel, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """Keep the rows whose text has a learned language with at least probability `least`; columns as they are."""
     names = [f.name for f in docs.schema.fields]
 
