@@ -17,7 +17,7 @@ from snapcat.llm import components, jaccard, langid, mixing, packing, secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents in which a learned language is found with a probability of 0.4 or more.
+    """Keep the documents in which a learned language is found with a probability of 0.3 or more.
 
     Whole texts decide; those that are null, empty or without a letter go, and all go if no row has a language to learn
     from. Null ids, sources and languages stay as they are, repeated rows are judged each for itself.
