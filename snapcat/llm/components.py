@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,12 @@ def checkpoint_dir(spark) -> None:
 def release(spark) -> None:
     """Between phases of a long job: let Spark drop the shuffle files of finished ones.
 
-    They stay until the driver's JVM collects the plans that refer to them, which otherwise may be long after.
+    They stay until the driver's JVM collects the plans that refer to them, which otherwise may be long after. The files
+    are deleted by a thread of their own, so the next phase waits a moment for it.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
