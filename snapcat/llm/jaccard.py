@@ -294,7 +294,8 @@ def jaccard_components(
     # sets that share k of their m shingles share one of the first m - k + 1 of each; what they share is counted then
     early = (F.col("i_a") <= m_of("stat_a") - need() + 1) & (F.col("i_b") <= m_of("stat_b") - need() + 1)
     cross = distinct(side("a").join(side("b"), "token").filter((F.col("comp_a") < F.col("comp_b")) & near & early))
-    lists = entries.groupBy("key").agg(F.collect_list("token").alias("t"))
+    # a shingle that sets of two components share stands in a list that is split
+    lists = placed.groupBy("key").agg(F.collect_list("token").alias("t"))
     for x in "ab":
         cross = cross.join(lists.withColumnsRenamed({"key": x, "t": "t_" + x}), x)
     cross = cross.filter(F.size(F.array_intersect("t_a", "t_b")) >= need()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
